@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lakewright.llm import chat, mixing
+from lakewright.llm import chat, mixing, secrets, url_filter
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op2_chat_format": chat.query,
+    "op3_url_filter": url_filter.query,
+    "op9_secret_scan": secrets.query,
 }
 
 ORACLES = {
