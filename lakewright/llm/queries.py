@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lakewright.llm import chat, mixing, secrets, url_filter
+from lakewright.llm import chat, langid, mixing, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op2_chat_format": chat.query,
     "op3_url_filter": url_filter.query,
+    "op4_toxicity": toxicity.query,
+    "op5_language_id": langid.query,
     "op9_secret_scan": secrets.query,
 }
 
