@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewright.llm import chat, decontaminate, embed_dedup, langid, minhash, mixing, secrets, toxicity, url_filter
+from lakewright.llm import chat, decontaminate, embed_dedup, langid, minhash, mixing, pii, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.query,
     "op4_toxicity": toxicity.query,
     "op5_language_id": langid.query,
+    "op6_pii_surrogates": pii.query,
     "op7_embedding_dedup": embed_dedup.query,
     "op8_decontamination": decontaminate.query,
     "op9_secret_scan": secrets.query,
