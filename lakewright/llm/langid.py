@@ -17,12 +17,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import held_out, hex_long, table
+from lakewright.plans.checkpoints import cut
 
 #: At most so many documents per language (smallest hashes) are learned from.
 TRAIN_DOCS = 300
 #: And so many of them set aside to fit the calibration.
 CALIBRATE_EVERY = 5
 DISCOUNT = 0.75
+#: So many ids of documents to learn from are broadcast (24 bytes each); more are joined.
+BROADCAST_IDS = 100_000
 #: A chosen language below this posterior is marked as rejected.
 REJECT = 0.5
 UNKNOWN = "und"
@@ -188,7 +191,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
         .withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id")))
         .filter(F.col("at") <= train_docs)
     )
-    picked = docs.select("doc_id", "text").join(ids, "doc_id")
+    ids = cut(ids)
+    small = ids.count() <= BROADCAST_IDS
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id")
     grams = (
         picked.filter(f"at % {CALIBRATE_EVERY} <> 0 or at < {CALIBRATE_EVERY}")
         .select("lang", "text")
