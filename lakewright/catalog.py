@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name in ("corpus", "retrieval"):
+    _module = importlib.import_module(f"lakewright.queries.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
