@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("corpus", "retrieval"):
+for _name in ("corpus", "retrieval", "evidence", "analytics"):
     _module = importlib.import_module(f"lakewright.queries.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 MARKER = "§"
 
@@ -38,17 +39,17 @@ def collapse(text: Column) -> Column:
     return utrim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def nfkc_len(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else len(unicodedata.normalize("NFKC", s))).astype("Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed9(x: pd.Series) -> pd.Series:
     """``%.9f`` with exact halves to even, as C prints them."""
     return x.map(lambda v: None if pd.isna(v) else f"{v:.9f}")

@@ -50,7 +50,7 @@ def fan_in(claims: DataFrame) -> DataFrame:
         F.sum("n").alias("claims"),
         F.array_sort(F.collect_list(F.struct("first", "doc_id", "score"))).alias("refs"),
     )
-    w = W.partitionBy("nugget_id").orderBy("first_seq")
+    w = W.partitionBy("nugget_id").orderBy("first_seq", "value_key")
     return g.withColumn("answer_index", F.row_number().over(w) - 1)
 
 

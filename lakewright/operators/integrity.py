@@ -56,7 +56,7 @@ def finite_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
 def stale_leases(beats: DataFrame, now: Column, max_age_s: float, by: str = "owner") -> DataFrame:
     """(by, last_beat, age_s, stale) of heartbeats (by, ts)."""
     g = beats.groupBy(by).agg(F.max("ts").alias("last_beat"))
-    age = now.cast("double") - F.col("last_beat").cast("double")
+    age = now.cast("timestamp").cast("double") - F.col("last_beat").cast("timestamp").cast("double")
     return g.withColumn("age_s", F.round(age, 3)).withColumn("stale", age > max_age_s)
 
 
