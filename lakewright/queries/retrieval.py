@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.operators import agreement, fusion, legs
-from lakewright.queries.tables import read
+from lakewright.queries.tables import documents, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -96,7 +96,7 @@ sparse_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return legs.postings(items, _words()), legs.postings(docs, _words())
 
@@ -185,7 +185,7 @@ SELECT query_id, id, round(coalesce(re, score), 9) AS score,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY re IS NULL, re DESC, CASE WHEN re IS NOT NULL THEN id END, place) AS INTEGER) AS rank FROM both_""",
 )
 def rerank_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _words().alias("dw"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), _words().alias("dw"))
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _words().alias("qw"))
 
     def score(head: DataFrame) -> DataFrame:
