@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.plans.spread import spread
+
 #: A word, wherever an operator counts words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -13,7 +15,7 @@ HELD_OUT = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def held_out(doc_id: Column) -> Column:
