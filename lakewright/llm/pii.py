@@ -30,7 +30,7 @@ NEUTRAL = ("Dr", "Prof", "Mx")
 _TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 #: kind -> pattern, in order of precedence. Fixed values.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "ip": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
@@ -39,6 +39,9 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every mention but a name holds a digit or an @; every name one of the titles.
+_INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
+TITLED = rf"(?=[{_INITIALS}])(?:{_TITLE})\.? \p{{Lu}}"
 #: Syllables of made-up names and letters of made-up words, by script. Fixed values.
 LATIN = ("ba", "den", "fi", "gor", "hal", "ka", "lin", "mo", "nar", "pel", "ri", "sten", "tu", "ven", "wal", "zo")
 CYRILLIC = ("ба", "ден", "фи", "гор", "хал", "ка", "лин", "мо", "нар", "пел", "ри", "стен", "ту", "вен", "вал", "зо")
@@ -54,6 +57,12 @@ def find(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), 0)
 
 
+def has_mention(text: Column) -> Column:
+    """Whether ``find`` finds anything; what cheap tests rule out is not matched."""
+    may = text.contains("@") | text.rlike("[0-9]") | text.rlike(TITLED)
+    return F.coalesce(may & text.rlike(ANY), F.lit(False))
+
+
 def kind_of(found: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(PATTERNS.items())[:-1]):
@@ -207,9 +216,9 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     Runs actions.
     """
     cols = docs.columns
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    has = has_mention(F.col("text"))
     plain = docs.filter(~has).withColumn("_n", F.lit(0).cast("long"))
-    hit = docs.filter(has).withColumn("_k", F.md5(F.col("text").cast("binary")))
+    hit = cut(docs.filter(has).withColumn("_k", F.md5(F.col("text").cast("binary"))))
     own = hit.select("_k", "text").dropDuplicates(["_k"])
     mentions = cut(
         own.select("_k", F.posexplode(find(F.col("text"))).alias("pos", "found"))
