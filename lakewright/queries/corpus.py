@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions import text as T
-from lakewright.operators import boilerplate, folds, ordered, segment, translation
+from lakewright.operators import acceptance, boilerplate, folds, ordered, segment, translation
 from lakewright.queries.tables import documents, lines, read
 
 QUERIES: dict = {}
@@ -366,3 +366,24 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", title.alias("title"), F.regexp_count("html", F.lit("<p>")).alias("n_p"),
         F.size(F.filter(F.split(title, "[›»>|]", -1), lambda x: F.trim(x) != "")).alias("crumbs"),
     )
+
+
+@_query(
+    "paragraph_edges",
+    f"""WITH {_SPINE} SELECT doc_id, sentence_index, paragraph_index IS DISTINCT FROM lag(paragraph_index) OVER w AS opens, paragraph_index IS DISTINCT FROM lead(paragraph_index) OVER w AS closes
+FROM spine WINDOW w AS (PARTITION BY doc_id ORDER BY sentence_index)""",
+)
+def paragraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = acceptance.paragraph_edges(_spine(spark, sf_dir)[1])
+    return e.select("doc_id", "sentence_index", "opens", "closes")
+
+
+@_query(
+    "truncated_tokens",
+    """WITH t AS (SELECT doc_id, list_concat(list_concat(['<x>'], list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')), ['</s>']) AS t FROM documents)
+SELECT doc_id, CAST(least(len(t), 64) AS INTEGER) AS n, md5(array_to_string(CASE WHEN len(t) <= 64 THEN t ELSE list_concat(t[1:63], t[len(t):len(t)]) END, ' ')) AS tokens_md5 FROM t""",
+)
+def truncated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    tokens = acceptance.truncated(F.concat(F.array(F.lit("<x>")), words, F.array(F.lit("</s>"))), 64)
+    return documents(spark, sf_dir).select("doc_id", F.size(tokens).alias("n"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("tokens_md5"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions import text as T
-from lakewright.operators import dedup, evidence, ordered
+from lakewright.operators import acceptance, context, dedup, evidence, ordered
 from lakewright.queries.tables import EVIDENCE, answers, nuggets, read
 
 QUERIES: dict = {}
@@ -297,3 +297,74 @@ SELECT topic_id, CAST(island AS BIGINT) AS island, any_value(status) AS status,
 def islands_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = ordered.islands(nuggets(spark, sf_dir), ["topic_id"], ["nugget_id"], "status")
     return i.groupBy("topic_id", "island").agg(F.first("status").alias("status"), F.min("nugget_id").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    "best_passages",
+    f"""WITH {EVIDENCE}, b AS (SELECT n.topic_id, a.passage_id, max(a.score) AS score FROM answers a JOIN nuggets n USING (nugget_id) GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, passage_id) AS INTEGER) AS rank FROM b) WHERE rank <= 8""",
+)
+def best_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = answers(spark, sf_dir).join(nuggets(spark, sf_dir), "nugget_id")
+    return context.best_per_passage(j.select("topic_id", "passage_id", "score"), ["topic_id"], 8)
+
+
+@_query(
+    "trigger_passages",
+    f"""WITH {EVIDENCE}, e AS (SELECT DISTINCT n.topic_id, a.passage_id FROM answers a JOIN nuggets n USING (nugget_id)),
+t AS (SELECT topic_id, nugget_id, nugget_id % 100 AS trigger_passage_id FROM nuggets)
+SELECT t.topic_id, t.nugget_id, e.passage_id AS trigger_passage_id FROM t LEFT JOIN e ON e.topic_id = t.topic_id AND e.passage_id = t.trigger_passage_id""",
+)
+def trigger_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = nuggets(spark, sf_dir)
+    seen = answers(spark, sf_dir).join(n, "nugget_id").select("topic_id", "passage_id")
+    asked = n.select("topic_id", "nugget_id", (F.col("nugget_id") % 100).alias("trigger_passage_id"))
+    return context.trigger_passages(asked, seen)
+
+
+@_query("context_budget")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as its ranked passages, shown within 1,000 characters."""
+    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("rank"), F.col("turn").alias("id"), "text")
+    shown = context.within_budget(t, 1_000)
+    return context.passage_block(shown, "original")
+
+
+@_query(
+    "bank_fingerprint",
+    f"""WITH {EVIDENCE}, i AS (SELECT topic_id, nugget_id, '{{"aggregator_type":"' || CASE WHEN nugget_id % 2 = 0 THEN 'AND' ELSE 'OR' END || '","question":"q ' || nugget_id || '"}}' AS j FROM nuggets),
+f AS (SELECT topic_id, sha256('{{"nuggets":[' || string_agg(j, ',' ORDER BY nugget_id) || ']}}') AS fingerprint FROM i GROUP BY topic_id)
+SELECT *, CAST(('0x' || substring(fingerprint, 1, 13))::BIGINT AS DOUBLE) AS counter FROM f""",
+)
+def bank_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = nuggets(spark, sf_dir)
+    kind = F.when(F.col("nugget_id") % 2 == 0, "AND").otherwise("OR")
+    bank = n.select("topic_id", "nugget_id", F.concat(F.lit("q "), F.col("nugget_id").cast("string")).alias("question"), kind.alias("aggregator_type"))
+    return acceptance.bank_fingerprint(bank, ["topic_id"])
+
+
+@_query(
+    "component_merge",
+    f"""WITH {EVIDENCE}, c AS (SELECT nugget_id, min(nugget_id) OVER (PARTITION BY topic_id, origin_round) AS component FROM nuggets)
+SELECT component, max(weight) AS weight, count(*) AS members FROM nuggets JOIN c USING (nugget_id) GROUP BY component""",
+)
+def component_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nuggets of a topic and round stand for one component."""
+    n, a = nuggets(spark, sf_dir), answers(spark, sf_dir)
+    low = n.groupBy("topic_id", "origin_round").agg(F.min("nugget_id").alias("component"))
+    comps = n.join(low, ["topic_id", "origin_round"]).select(F.col("nugget_id").alias("id"), "component")
+    said = a.select("nugget_id", F.col("flag").alias("answer"), F.col("line_status").alias("span"))
+    return acceptance.component_merge(n, said, a.select("nugget_id", "passage_id"), comps)[0]
+
+
+@_query("merge_answers")
+def merge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers near in score and flag merge inside nuggets of odd id."""
+    a = answers(spark, sf_dir)
+    one = a.groupBy("nugget_id", "answer_index").agg(F.max("score").alias("score"), F.min("flag").alias("answer"), F.map_from_entries(F.collect_set(F.struct("doc_id", F.lit(1.0)))).alias("references"))
+    angle = F.col("score") * 1.5
+    return acceptance.merge_answers(
+        one.withColumn("aggregator_type", F.when(F.col("nugget_id") % 2 == 0, "AND").otherwise("OR")).withColumn("vector", F.array(F.cos(angle), F.sin(angle))),
+        0.99,
+        lambda x, y: x == y,
+    ).select("nugget_id", "answer", "score", F.size("references").alias("documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.operators import agreement, fusion, legs
+from lakewright.operators import acceptance, agreement, fusion, legs
 from lakewright.queries.tables import documents, read
 
 QUERIES: dict = {}
@@ -253,3 +253,11 @@ SELECT query_id, shared, round(CASE WHEN shared >= 2 THEN c / (shared * (shared
 def kendall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _two_lists(spark, sf_dir)
     return agreement.kendall_tau(a, b, ["query_id"]).withColumn("tau", F.round("tau", 9))
+
+
+@_query(
+    "self_retrieval",
+    """SELECT vec_id AS query_id, true AS found, false AS excused, true AS passed FROM embeddings WHERE vec_id % 100 = 0""",
+)
+def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acceptance.self_retrieval(dense_topk(spark, sf_dir))
