@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakewright.plans.grouped import fold_groups
+
 
 def bank_fingerprint(bank: DataFrame, by: list[str]) -> DataFrame:
     """(by, fingerprint, counter) of banks (by, nugget_id, question, aggregator_type).
@@ -58,7 +59,7 @@ def reduce_manifests(fragments: DataFrame, key: str, shared: list[str], listed:
         aggs += [F.count_distinct(c).alias(f"_{c}"), F.min(c).alias(c)]
     for c in listed:
         pairs = F.array_sort(F.collect_list(F.struct("part", c)))
-        aggs.append(F.array_distinct(F.transform(pairs, lambda x, c=c: x[c])).alias(c))
+        aggs.append(F.array_distinct(pairs[c]).alias(c))
     g = fragments.groupBy(key).agg(*aggs)
     clash = F.array_compact(F.array(*[F.when(F.col(f"_{c}") > 1, F.lit(c)) for c in shared]))
     return g.withColumn("conflicts", clash).select(key, *[F.when(F.col(f"_{c}") <= 1, F.col(c)).alias(c) for c in shared], *listed, "conflicts")
@@ -141,20 +142,24 @@ def merge_answers(answers: DataFrame, cutoff: float, confirm: Callable[[str, str
     references (map<long,double>).
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("answer_index")
+    def fold(g: dict[str, list]) -> dict[str, list]:
         rows = [
             {"answer": a, "score": s, "references": dict(r), "support": []}
-            for a, s, r in zip(pdf["answer"], pdf["score"], pdf["references"], strict=True)
+            for a, s, r in zip(g["answer"], g["score"], g["references"], strict=True)
         ]
-        if pdf["aggregator_type"].iloc[0] == "OR":
-            rows = merge_same_answers(rows, np.array(pdf["vector"].tolist(), float), cutoff, confirm)
-        return pd.DataFrame(
-            {"nugget_id": pdf["nugget_id"].iloc[0], "answer": [r["answer"] for r in rows], "score": [r["score"] for r in rows], "references": [r["references"] for r in rows]}
-        )
+        if g["aggregator_type"][0] == "OR" and len(rows) > 1:
+            rows = merge_same_answers(rows, np.array([list(v) for v in g["vector"]], float), cutoff, confirm)
+        return {
+            "nugget_id": g["nugget_id"][:1] * len(rows),
+            "answer": [r["answer"] for r in rows],
+            "score": [r["score"] for r in rows],
+            "references": [r["references"] for r in rows],
+        }
 
     kind = dict(answers.dtypes)["nugget_id"]
-    return answers.groupBy("nugget_id").applyInPandas(fold, f"nugget_id {kind}, answer string, score double, references map<bigint,double>")
+    return fold_groups(
+        answers, ["nugget_id"], ["answer_index"], fold, f"nugget_id {kind}, answer string, score double, references map<bigint,double>"
+    )
 
 
 def component_merge(nuggets: DataFrame, answers: DataFrame, retrieved: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

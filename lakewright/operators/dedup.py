@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.operators.graph import connected_components
+from lakewright.plans.grouped import fold_groups
 
 #: Rows of a block; a pair of blocks is compared by one matrix product.
 BLOCK = 2_048
@@ -78,14 +79,12 @@ def greedy_survivors(ids: list, vectors: np.ndarray, cutoff: float, confirm=None
 def greedy_dedup(vectors: DataFrame, cutoff: float, by: str, confirm=None) -> DataFrame:
     """(by, id, survivor) in order of id; one group's fold runs in one task."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].tolist()
-        into = greedy_survivors(ids, np.array(pdf["vector"].tolist(), float), cutoff, confirm)
-        return pd.DataFrame({by: pdf[by].iloc[0], "id": ids, "survivor": into})
+    def fold(g: dict[str, list]) -> dict[str, list]:
+        vectors = np.array([list(v) for v in g["vector"]], float)
+        return {by: g[by], "id": g["id"], "survivor": greedy_survivors(g["id"], vectors, cutoff, confirm)}
 
     kind = dict(vectors.dtypes)[by]
-    return vectors.select(by, "id", "vector").groupBy(by).applyInPandas(fold, f"`{by}` {kind}, id long, survivor long")
+    return fold_groups(vectors.select(by, "id", "vector"), [by], ["id"], fold, f"`{by}` {kind}, id long, survivor long")
 
 
 def merge_references(maps: DataFrame) -> DataFrame:

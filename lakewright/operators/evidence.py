@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakewright.functions.text import cluster_key
+from lakewright.plans.grouped import fold_groups
 
 
 def ground(claims: DataFrame, shown: DataFrame) -> DataFrame:
@@ -247,21 +247,21 @@ def task1_reports(answers: DataFrame) -> DataFrame:
     docs (array<long>). One topic's answers are folded in one task.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        report = fill_report(pdf.to_dict("records"), int(pdf["limit"].iloc[0]))
-        return pd.DataFrame(
-            {
-                "topic_id": pdf["topic_id"].iloc[0],
-                "position": range(len(report)),
-                "sentence": [t for t, _ in report],
-                "docs": [list(map(int, d)) for _, d in report],
-            }
-        )
+    names = ("nugget_id", "weight", "answer_index", "score", "sentence", "docs")
+
+    def fold(g: dict[str, list]) -> dict[str, list]:
+        rows = [dict(zip(names, r, strict=True)) for r in zip(*(g[n] for n in names), strict=True)]
+        report = fill_report(rows, int(g["limit"][0]))
+        return {
+            "topic_id": g["topic_id"][:1] * len(report),
+            "position": list(range(len(report))),
+            "sentence": [t for t, _ in report],
+            "docs": [list(map(int, d)) for _, d in report],
+        }
 
     kind = dict(answers.dtypes)["topic_id"]
-    return answers.groupBy("topic_id").applyInPandas(
-        fold, f"topic_id {kind}, position int, sentence string, docs array<bigint>"
-    )
+    schema = f"topic_id {kind}, position int, sentence string, docs array<bigint>"
+    return fold_groups(answers.select("topic_id", "limit", *names), ["topic_id"], ["nugget_id", "answer_index"], fold, schema)
 
 
 def task3_bank(capped: DataFrame, references: DataFrame) -> DataFrame:

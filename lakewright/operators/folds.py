@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewright.plans.grouped import fold_groups
+
 
 def merge_short(
     spans: Sequence[tuple[int, int]],
@@ -133,42 +134,50 @@ def count_words(text: str) -> int:
 def merge_units(spine: DataFrame, docs: DataFrame, *, count=count_words, **options) -> DataFrame:
     """doc_id, unit, first, last, token_count of a spine (doc_id, sentence_index, ...); English stays single."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sentence_index")
-        if pdf["lang"].iloc[0] == "en":
-            units = [(i, i, c) for i, c in enumerate(pdf["token_count"])]
+    def fold(g: dict[str, list]) -> dict[str, list]:
+        if g["lang"][0] == "en":
+            units = [(i, i, c) for i, c in enumerate(g["token_count"])]
         else:
-            spans = list(zip(pdf["start"], pdf["end"], strict=True))
-            units = merge_short(
-                spans, pdf["paragraph_index"].tolist(), pdf["token_count"].tolist(), pdf["text"].iloc[0], count, **options
-            )
-        out = pd.DataFrame(units, columns=["first", "last", "token_count"])
-        return out.assign(doc_id=pdf["doc_id"].iloc[0], unit=range(len(out)))
+            spans = list(zip(g["start"], g["end"], strict=True))
+            units = merge_short(spans, g["paragraph_index"], g["token_count"], g["text"][0], count, **options)
+        n = len(units)
+        return {
+            "doc_id": g["doc_id"][:1] * n,
+            "unit": list(range(n)),
+            "first": [u[0] for u in units],
+            "last": [u[1] for u in units],
+            "token_count": [u[2] for u in units],
+        }
 
     kind = dict(spine.dtypes)["doc_id"]
-    rows = spine.drop("sentence").join(docs.select("doc_id", "text"), "doc_id")
-    return rows.groupBy("doc_id").applyInPandas(
-        fold, f"doc_id {kind}, unit int, first int, last int, token_count int"
+    rows = spine.select("doc_id", "sentence_index", "lang", "start", "end", "paragraph_index", "token_count")
+    first = F.when(F.col("sentence_index") == 0, F.col("text")).otherwise(F.lit(""))
+    rows = rows.join(docs.select("doc_id", "text"), "doc_id").withColumn("text", first)
+    return fold_groups(
+        rows, ["doc_id"], ["sentence_index"], fold, f"doc_id {kind}, unit int, first int, last int, token_count int"
     )
 
 
 def pack_passages(spine: DataFrame, **options) -> DataFrame:
     """passage_id, doc_id, lang, first, last, token_count, is_oversized of a spine."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sentence_index")
-        out = pd.DataFrame(
-            pack(pdf["token_count"].tolist(), pdf["paragraph_index"].tolist(), **options),
-            columns=["first", "last", "token_count", "is_oversized"],
-        )
-        doc = pdf["doc_id"].iloc[0]
-        return out.assign(passage_id=[f"{doc}#p{k}" for k in range(len(out))], doc_id=doc, lang=pdf["lang"].iloc[0])
+    def fold(g: dict[str, list]) -> dict[str, list]:
+        out = pack(g["token_count"], g["paragraph_index"], **options)
+        n, doc = len(out), g["doc_id"][0]
+        return {
+            "passage_id": [f"{doc}#p{k}" for k in range(n)],
+            "doc_id": [doc] * n,
+            "lang": g["lang"][:1] * n,
+            "first": [p[0] for p in out],
+            "last": [p[1] for p in out],
+            "token_count": [p[2] for p in out],
+            "is_oversized": [p[3] for p in out],
+        }
 
     kind = dict(spine.dtypes)["doc_id"]
     lean = spine.select("doc_id", "lang", "sentence_index", "paragraph_index", "token_count")
-    return lean.groupBy("doc_id").applyInPandas(
-        fold, f"passage_id string, doc_id {kind}, lang string, first int, last int, token_count int, is_oversized boolean"
-    )
+    schema = f"passage_id string, doc_id {kind}, lang string, first int, last int, token_count int, is_oversized boolean"
+    return fold_groups(lean, ["doc_id"], ["sentence_index"], fold, schema)
 
 
 def passage_violations(passages: DataFrame, spine: DataFrame, budget: int) -> DataFrame:
@@ -192,12 +201,11 @@ def passage_violations(passages: DataFrame, spine: DataFrame, budget: int) -> Da
 def length_batches(items: DataFrame, group: str, length: str, *, budget: int, most: int) -> DataFrame:
     """``items`` (group, id, length) with ``batch`` inside each group, by (length, id)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, "id"])
-        return pdf.assign(batch=batches(pdf[length].tolist(), budget=budget, most=most))
+    def fold(g: dict[str, list]) -> dict[str, list]:
+        return g | {"batch": batches(g[length], budget=budget, most=most)}
 
     schema = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
-    return items.groupBy(group).applyInPandas(fold, f"{schema}, batch int")
+    return fold_groups(items, [group], [length, "id"], fold, f"{schema}, batch int")
 
 
 def decode_cap(longest: int, ratio: float = 2.0, extra: int = 10, most: int = 512) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakewright.functions import text as T
 from lakewright.operators import acceptance, boilerplate, folds, ordered, segment, translation
+from lakewright.plans.grouped import fold_groups
 from lakewright.queries.tables import documents, lines, read
 
 QUERIES: dict = {}
@@ -340,11 +341,10 @@ def shard_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each language cut into shards of at most 200,000 bytes, in order of doc_id."""
     d = documents(spark, sf_dir).select("lang", "doc_id", F.octet_length("text").alias("size"))
 
-    def fold(pdf):
-        pdf = pdf.sort_values("doc_id")
-        return pdf.assign(shard=folds.cut_shards(pdf["size"].tolist(), 200_000))
+    def fold(g):
+        return g | {"shard": folds.cut_shards(g["size"], 200_000)}
 
-    return d.groupBy("lang").applyInPandas(fold, "lang string, doc_id long, size int, shard int")
+    return fold_groups(d, ["lang"], ["doc_id"], fold, "lang string, doc_id long, size int, shard int")
 
 
 @_query(
