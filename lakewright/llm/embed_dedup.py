@@ -252,3 +252,16 @@ def near_duplicates(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {COSINE}),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, p.b FROM reach r JOIN pairs p ON p.a = r.other),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(any_value(n_links), 0) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""

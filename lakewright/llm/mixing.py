@@ -186,3 +186,35 @@ def mix_sources(
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same by listing every block: each source's, then each shard's, by its quotient.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS src,
+    ('0x' || substring(md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+t AS (SELECT CAST(sum(size) AS BIGINT) AS total, greatest(1, CAST(ceil(sum(size) / {SHARD_WORDS}.0) AS BIGINT)) AS shards FROM d),
+s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY src, source),
+w AS (SELECT *, (r - 1) % 3 + 1 AS weight, {MAX_REPEATS} * source_size AS cap FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER p, 0) AS capb, coalesce(sum(weight) OVER p, 0) AS wb, sum(weight) OVER () AS wall
+    FROM w WINDOW p AS (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT o.*, t.total, cap * (wall - wb) <= (t.total - capb) * weight AS capped FROM o, t),
+g AS (SELECT src, source_size, r, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST((total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) * weight AS DOUBLE)
+    / sum(weight) FILTER (NOT capped) OVER () END AS target, total // {BLOCK_WORDS} AS seats FROM c),
+q AS (SELECT src, r, target / (2 * k - 1) AS quotient, seats FROM g, LATERAL (SELECT unnest(range(1, seats + 1)) AS k) WHERE target > 0),
+got AS (SELECT src, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, r) AS n FROM q) WHERE n <= seats GROUP BY src),
+e AS (SELECT d.*, CAST(trunc(h / 7.0) AS BIGINT) % t.shards AS shard FROM d, t),
+l AS (SELECT src, shard, CAST(sum(size) AS BIGINT) AS len FROM e GROUP BY src, shard),
+ls AS (SELECT l.*, coalesce(got.seats, 0) AS seats FROM l LEFT JOIN got USING (src)),
+lq AS (SELECT src, shard, len / (2 * k - 1) AS quotient, seats FROM ls, LATERAL (SELECT unnest(range(1, seats + 1)) AS k) WHERE len > 0),
+lg AS (SELECT src, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY quotient DESC, shard) AS n FROM lq) WHERE n <= seats GROUP BY src, shard),
+z AS (SELECT l.*, least(coalesce(quota, 0) * {BLOCK_WORDS}, {MAX_REPEATS} * len) AS take,
+    ('0x' || substring(md5('{SEED}/' || src || '/' || shard), 1, 15))::BIGINT % greatest((len + {BLOCK_WORDS - 1}) // {BLOCK_WORDS}, 1) * {BLOCK_WORDS} AS start
+    FROM l LEFT JOIN lg USING (src, shard)),
+x AS (SELECT e.doc_id, e.src, e.size, z.len, z.take, z.start, CAST(sum(e.size) OVER (PARTITION BY e.src, e.shard ORDER BY h, e.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS till
+    FROM e JOIN z USING (src, shard)),
+y AS (SELECT *, CASE WHEN len > 0 THEN take // len ELSE 0 END AS rounds, CASE WHEN len > 0 THEN take % len ELSE 0 END AS rest FROM x)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(rounds * size + greatest(least(till, start + rest) - greatest(till - size, start), 0) + greatest(least(till, start + rest - len) - (till - size), 0) AS BIGINT) AS taken
+FROM y JOIN g USING (src)
+"""

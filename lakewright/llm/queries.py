@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_source_mix": mixing.ORACLE,
     "op2_chat_format": chat.ORACLE,
+    "op7_embedding_dedup": embed_dedup.ORACLE,
+    "op10_minhash_dedup": minhash.ORACLE,
 }
