@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import held_out, hex_long, table
+from lakewright.llm.minhash import near_duplicates
 from lakewright.plans.checkpoints import cut
 
 #: At most so many labelled rows (those with the smallest hashes) are learned from.
 MAX_TRAIN = 20_000
 WINDOW_WORDS = 4
+#: Begins every window and both dictionaries; no text holds these bytes.
+ANCHOR = bytes(range(0xC0, 0xE0)) * 2
 CAPITALS = 5
 GRAM_LENGTHS = range(5, 14)
 MIN_DOCS = 8
@@ -42,6 +45,9 @@ MAX_GRAMS = 400
 ORDINARY_WORDS = 1_500
 ORDINARY_BYTES = 6_000
 THRESHOLD = 0.3
+#: Toxic training texts this alike count as one.
+COPY_WORDS = 3
+COPY_PERCENT = 40
 FEATURES = 10
 
 
@@ -51,7 +57,10 @@ def words_of(text: str | None) -> list[str]:
 
 def windows_of(text: str | None) -> list[bytes]:
     w = words_of(text)
-    return [(" " + " ".join(w[i : i + WINDOW_WORDS]) + " ").encode() for i in range(0, len(w), WINDOW_WORDS)] or [b""]
+    return [
+        ANCHOR + (" " + " ".join(w[i : i + WINDOW_WORDS]) + " ").encode("utf-8", "surrogatepass")
+        for i in range(0, len(w), WINDOW_WORDS)
+    ] or [ANCHOR]
 
 
 def _compressor(content: bytes) -> zs.ZstdCompressor:
@@ -85,14 +94,14 @@ class ToxicityModel:
 
     def features(self, texts) -> np.ndarray:
         filler = bytes(1 + (i * 7 + i * i) % 31 for i in range(len(self.toxic)))
-        plain, toxic = _compressor(self.ordinary + filler), _compressor(self.ordinary + self.toxic)
+        plain, toxic = _compressor(ANCHOR + self.ordinary + filler), _compressor(ANCHOR + self.ordinary + self.toxic)
         out = np.zeros((len(texts), FEATURES))
         for row, text in enumerate(texts):
             windows = windows_of(text)
             saved = np.fromiter(
                 (len(plain.compress(x)) - len(toxic.compress(x)) for x in windows), np.int64, len(windows)
             )
-            n, size = len(windows), sum(map(len, windows)) + 40
+            n, size = len(windows), sum(map(len, windows)) - (len(windows) * len(ANCHOR)) + 40
             top = np.sort(saved)[::-1][:3]
             two, three, four = ((saved >= k).sum() for k in (2, 3, 4))
             out[row] = (
@@ -163,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
     """Learn from ``docs`` (doc_id, text) whose ``labels`` (doc_id, toxic) say 0 or 1.
 
     Held-out documents are never used. At most ``max_train`` rows are, those
-    with the smallest hashes of their id; repeated texts count once for the
-    dictionaries. Without labelled rows every score is the same.
+    with the smallest hashes of their id; repeated texts count once, and so do
+    near copies among the toxic ones. Without labelled rows every score is the same.
     """
     known = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -173,8 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
         .orderBy(hex_long(F.concat(F.lit("tox"), F.col("doc_id").cast("string"))), "doc_id")
         .limit(max_train)
     )
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
-    once = rows.dropDuplicates(["text"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["text", "toxic"])
+    rows = cut(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"))
+    # Near copies of one toxic text would make all of its words look toxic: one of each group counts.
+    groups = near_duplicates(rows.filter("toxic = 1"), words=COPY_WORDS, percent=COPY_PERCENT).filter("kept")
+    once = cut(
+        rows.filter("toxic = 1").join(groups.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        .unionByName(rows.filter("toxic = 0"))
+        .select("text", "toxic")
+    )
     totals = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     counts = cut(
@@ -209,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
         for pdf in batches:
             yield pd.DataFrame({"x": model.features(pdf["text"]).tolist(), "toxic": pdf["toxic"]})
 
-    seen = rows.mapInPandas(measure, "x array<double>, toxic int").collect()
+    seen = once.mapInPandas(measure, "x array<double>, toxic int").collect()
     if seen:
         seen = sorted((r["toxic"], tuple(r["x"])) for r in seen)
         model.calibrate(np.array([x for _, x in seen]), np.array([t for t, _ in seen], dtype=float))
