@@ -8,6 +8,12 @@ every text is compared with every item by cosine there; what is near enough is
 checked by the longest common subsequence of words around the window, and by
 the item's answer (its last sentence) where less than ``SURE`` of it is there.
 
+The cosine of a leak falls with the benchmark's size, as the latent space is
+fixed, and with the corpus, as words outside weigh more. So a bound without
+either is a second way to the same check: every window around which at least
+as many of an item's words stand as the least common subsequence that passes.
+It loses nothing that comparing each item with each window would find.
+
 Items are taken in blocks of ``ITEM_BLOCK``, which bounds the model: at most
 about 35,000 words of 192 numbers. A larger benchmark costs a pass per block.
 """
@@ -77,6 +83,15 @@ def masks_of(ids) -> dict[int, int]:
     return out
 
 
+def least_words(m: int) -> int:
+    """The shortest common subsequence with which an item of m words can be a leak."""
+    return m if m < SHORT else next(c for c in range(m + 1) if c / m >= LIKELY)
+
+
+def passes(m: int, share: float, answer: float) -> bool:
+    return share >= 1.0 if m < SHORT else share >= SURE or share >= LIKELY and answer >= ANSWER
+
+
 @dataclass
 class LatentIndex:
     """Word vectors and item vectors of one block of items."""
@@ -90,6 +105,17 @@ class LatentIndex:
     item_ids: list[list[int]]
     answers: list[int]
 
+    def __post_init__(self):
+        """Which items hold a word and how often, the items' words, and how many of them must be there."""
+        own = [np.unique(np.array(x, np.int32), return_counts=True) for x in self.item_ids]
+        self.item_words, self.item_counts = [w for w, _ in own], [c for _, c in own]
+        self.least = np.array([least_words(len(x)) for x in self.item_ids], np.int64)
+        word = np.concatenate([np.zeros(0, np.int32), *self.item_words])
+        by = np.argsort(word, kind="stable")
+        self.holder = np.repeat(np.arange(len(own)), [len(w) for w in self.item_words])[by].astype(np.int32)
+        self.times = np.concatenate([np.zeros(0, np.int64), *self.item_counts])[by].astype(np.int32)
+        self.first = np.searchsorted(word[by], np.arange(len(self.words) + 1))
+
     def ids(self, text: str | None) -> np.ndarray:
         get = self.words.get
         w = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DELETE).split()
@@ -119,6 +145,42 @@ class LatentIndex:
         at = np.flatnonzero(np.einsum("ij,ij->i", both, both) >= 0.999 * COSINE**2 * long)
         return half[at], (both[at] / np.sqrt(long[at] + 1e-9)[:, None].astype(np.float32)) @ self.item_vectors.T
 
+    def counted(self, x: np.ndarray):
+        """(item, places of its words, starts of windows) where enough of its words are around to pass."""
+        known = np.flatnonzero(x >= 0)
+        if not len(known):
+            return
+        own = x[known]
+        u = np.unique(own)
+        n = self.first[u + 1] - self.first[u]
+        at = np.repeat(self.first[u] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        there = np.bincount(self.holder[at], self.times[at], minlength=len(self.items))
+        windows = np.arange(0, len(x), STRIDE)
+        for k in np.flatnonzero(there >= self.least):
+            m = len(self.item_ids[k])
+            words = self.item_words[k]
+            place = np.searchsorted(words, own)
+            place[place == len(words)] = 0
+            mine = words[place] == own
+            pos, place = known[mine], place[mine].astype(np.int64)
+            lo, hi = np.maximum(windows - m, 0), windows + PASSAGE + m
+            near = np.flatnonzero(np.searchsorted(pos, hi) - np.searchsorted(pos, lo) >= self.least[k])
+            if not near.size:
+                continue
+            # Of each word at most as many count as the item has.
+            by = np.arange(len(words))[:, None] * (len(x) + PASSAGE + m + 1)
+            key = np.sort(place * (len(x) + PASSAGE + m + 1) + pos)
+            n = np.searchsorted(key, by + hi[near]) - np.searchsorted(key, by + lo[near])
+            near = near[np.minimum(n, self.item_counts[k][:, None]).sum(0) >= self.least[k]]
+            if near.size:
+                yield int(k), pos, windows[near]
+
+    def cosine(self, x: np.ndarray, start: int, k: int) -> float:
+        """Cosine of one window with one item."""
+        w = x[start : start + PASSAGE]
+        square = (np.where(w < 0, self.unseen, self.weight[w]).astype(np.float64) ** 2).sum()
+        return float(self.vectors[w[w >= 0]].sum(0) @ self.item_vectors[k] / np.sqrt(square + 1e-9))
+
     def hits(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item_id, cosine, share of the item, share of its answer) of the leaks."""
         x = self.ids(text)
@@ -139,11 +201,31 @@ class LatentIndex:
             answer = common_subsequence(masks_of(tail), len(tail), region) / len(tail)
             if not seen or (share, answer) > seen[1:]:
                 best[k] = (float(cos[w, k]), share, answer)
-        return [
-            (self.items[k], c, s, a)
-            for k, (c, s, a) in sorted(best.items())
-            if (s >= 1.0 if len(self.item_ids[k]) < SHORT else s >= SURE or s >= LIKELY and a >= ANSWER)
-        ]
+        leaked = {k: v for k, v in best.items() if passes(len(self.item_ids[k]), *v[1:])}
+        for k, pos, windows in self.counted(x):
+            if k in leaked:
+                continue
+            item = self.item_ids[k]
+            m = len(item)
+            masks, tail = masks_of(item), masks_of(item[m - self.answers[k] :])
+            found, last = None, None
+            for start in windows.tolist():
+                # Only the item's words matter to a subsequence; windows with the same ones are alike.
+                span = np.searchsorted(pos, (start - m, start + PASSAGE + m)).tolist()
+                if span == last:
+                    continue
+                last = span
+                region = x[pos[span[0] : span[1]]].tolist()
+                common = common_subsequence(masks, m, region)
+                if common < self.least[k]:
+                    continue
+                share = common / m
+                answer = common_subsequence(tail, self.answers[k], region) / self.answers[k]
+                if passes(m, share, answer) and (not found or (share, answer) > found[1:]):
+                    found = (start, share, answer)
+            if found:
+                leaked[k] = (self.cosine(x, found[0], k), *found[1:])
+        return [(self.items[k], *v) for k, v in sorted(leaked.items())]
 
 
 def _passages(ids: list[int]) -> list[list[int]]:

@@ -80,6 +80,18 @@ def test_candidates_keep_what_brute_force_finds(spark):
     assert total > 10 and found / total >= 0.9
 
 
+def test_leaks_of_a_large_block_are_found_among_rare_words(spark):
+    r = random.Random(11)
+    rare = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    vocabulary = rare(3_000)
+    bench = [(i, " ".join(r.choices(vocabulary, k=r.randint(14, 59)))) for i in range(D.ITEM_BLOCK)]
+    rows = [(i, " ".join([*rare(60), bench[i][1], *rare(60)])) for i in range(0, D.ITEM_BLOCK, 4)]
+    rows += [(1000 + i, " ".join(r.choices(vocabulary, k=200))) for i in range(400)]
+    docs, items = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((rows, "doc_id"), (bench, "item_id")))
+    got = {(h["doc_id"], h["item_id"]) for h in D.leaks(docs, items).collect()}
+    assert got == {(i, i) for i in range(0, D.ITEM_BLOCK, 4)}
+
+
 def test_leak_edges(spark, monkeypatch):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "tiny"), (None, "null id words here"), (1, "zulu yankee")]
     texts = [(1, None), (2, ""), (3, "x " * 50_000 + items[0][1]), (4, "alpha " * 1000), (None, items[0][1]), (6, "a tiny thing"), (7, items[0][1]), (7, items[0][1])]
