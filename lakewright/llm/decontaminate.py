@@ -4,8 +4,8 @@ Passages are TF-IDF vectors over the benchmark's words, with document counts of
 the whole corpus; words outside it only lengthen a passage's vector, as if no
 document had them. A randomised SVD of the benchmark's passages, summed up in
 tasks and factorised on the driver, gives the latent space. Every window of
-every text is compared with every item by cosine there; what is near enough is
-checked by the longest common subsequence of words around the window, and by
+every text is compared by cosine there with every passage of every item, and
+has of an item the best of its passages; what is near enough is checked by the longest common subsequence of words around the window, and by
 the item's answer (its last sentence) where less than ``SURE`` of it is there.
 
 The cosine of a leak falls with the benchmark's size, as the latent space is
@@ -94,14 +94,15 @@ def passes(m: int, share: float, answer: float) -> bool:
 
 @dataclass
 class LatentIndex:
-    """Word vectors and item vectors of one block of items."""
+    """Word vectors and the items' passage vectors of one block of items."""
 
     words: dict[bytes, int]
     weight: np.ndarray
     unseen: float
     vectors: np.ndarray
     items: list[int]
-    item_vectors: np.ndarray
+    passage_vectors: np.ndarray
+    first_passage: np.ndarray
     item_ids: list[list[int]]
     answers: list[int]
 
@@ -126,7 +127,7 @@ class LatentIndex:
         return x[np.append(True, (x[1:] != x[:-1]) | (x[1:] < 0))]
 
     def cosines(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows that can reach COSINE, and their cosines with all items.
+        """Starts of the windows that can reach COSINE, and their cosines with all items, the best of their passages.
 
         A window's cosine with anything is at most its latent length over its
         whole length, which few windows of a text that leaks nothing reach.
@@ -143,7 +144,8 @@ class LatentIndex:
         long = np.add.reduceat(square, half)
         long = long + np.append(long[1:], 0)
         at = np.flatnonzero(np.einsum("ij,ij->i", both, both) >= 0.999 * COSINE**2 * long)
-        return half[at], (both[at] / np.sqrt(long[at] + 1e-9)[:, None].astype(np.float32)) @ self.item_vectors.T
+        cos = (both[at] / np.sqrt(long[at] + 1e-9)[:, None].astype(np.float32)) @ self.passage_vectors.T
+        return half[at], np.maximum.reduceat(cos, self.first_passage, axis=1)
 
     def counted(self, x: np.ndarray):
         """(item, places of its words, starts of windows) where enough of its words are around to pass."""
@@ -176,10 +178,11 @@ class LatentIndex:
                 yield int(k), pos, windows[near]
 
     def cosine(self, x: np.ndarray, start: int, k: int) -> float:
-        """Cosine of one window with one item."""
+        """Cosine of one window with the best passage of one item."""
         w = x[start : start + PASSAGE]
         square = (np.where(w < 0, self.unseen, self.weight[w]).astype(np.float64) ** 2).sum()
-        return float(self.vectors[w[w >= 0]].sum(0) @ self.item_vectors[k] / np.sqrt(square + 1e-9))
+        own = self.passage_vectors[self.first_passage[k] :][: len(_passages(self.item_ids[k]))]
+        return float((own @ self.vectors[w[w >= 0]].sum(0)).max() / np.sqrt(square + 1e-9))
 
     def hits(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item_id, cosine, share of the item, share of its answer) of the leaks."""
@@ -232,6 +235,14 @@ def _passages(ids: list[int]) -> list[list[int]]:
     return [ids[s : s + PASSAGE] for s in range(0, max(1, len(ids) - PASSAGE + STRIDE), STRIDE)]
 
 
+def passage_vectors(vectors: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of all items' passages, item after item, and where each item's begin."""
+    parts = [_passages(x) for x in ids]
+    own = np.array([vectors[p].sum(0) for x in parts for p in x])
+    own /= np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-9)
+    return own, np.cumsum([0, *map(len, parts)])[:-1]
+
+
 def _document_counts(docs: DataFrame, words: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """Documents that hold each word, and all documents; a row per word and task is shuffled."""
 
@@ -294,7 +305,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]]) -> LatentIndex:
     size = max(1, min(DIMENSIONS + OVERSAMPLE, len(rows), len(words)))
     if not rows:
         zero = np.zeros((0, 1), np.float32)
-        return LatentIndex({}, np.zeros(1), unseen, np.zeros((1, 1), np.float32), [], zero, [], [])
+        return LatentIndex({}, np.zeros(1), unseen, np.zeros((1, 1), np.float32), [], zero, np.zeros(0, np.int64), [], [])
     passages = spark.createDataFrame(rows, "ids array<int>").repartition(SVD_TASKS)
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(words), size)))[0]
     for _ in range(POWER_ROUNDS):
@@ -302,10 +313,9 @@ def fit(docs: DataFrame, items: list[tuple[int, str]]) -> LatentIndex:
     _, rotation = np.linalg.eigh(_product(passages, weight, basis, gram=True))
     latent = (basis @ rotation[:, ::-1])[:, : min(DIMENSIONS, size)]
     vectors = (latent * weight[:, None]).astype(np.float32)
-    own = np.array([vectors[x].sum(0) for x in ids])
-    own /= np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-9)
+    own, first = passage_vectors(vectors, ids)
     return LatentIndex(
-        words, weight, unseen, vectors, [i for i, _ in items], own, ids, [answer_words(t) for _, t in items]
+        words, weight, unseen, vectors, [i for i, _ in items], own, first, ids, [answer_words(t) for _, t in items]
     )
 
 

@@ -92,6 +92,16 @@ def test_leaks_of_a_large_block_are_found_among_rare_words(spark):
     assert got == {(i, i) for i in range(0, D.ITEM_BLOCK, 4)}
 
 
+def test_a_long_item_is_near_its_own_words(spark):
+    r = random.Random(12)
+    words = [f"w{r.randrange(10**9)}" for _ in range(1_300)]
+    docs = [(0, " ".join(words[:1_000])), *((i, " ".join(words[1_000:])) for i in range(1, 40))]
+    index = D.fit(spark.createDataFrame(docs, DOCS), [(7, docs[0][1]), (8, "one two three four five six seven")])
+    text = " ".join(words[1_000:] + words[:1_000] + words[1_000:])
+    assert index.cosines(index.ids(text))[1][:, 0].max() > 0.6
+    assert [(h[0], h[2]) for h in index.hits(text)] == [(7, 1.0)]
+
+
 def test_leak_edges(spark, monkeypatch):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "tiny"), (None, "null id words here"), (1, "zulu yankee")]
     texts = [(1, None), (2, ""), (3, "x " * 50_000 + items[0][1]), (4, "alpha " * 1000), (None, items[0][1]), (6, "a tiny thing"), (7, items[0][1]), (7, items[0][1])]
