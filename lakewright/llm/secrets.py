@@ -20,8 +20,8 @@ HEX = r"[0-9a-f]+"
 #: of the patterns above when shorter matches are dropped: both take whole runs.
 ACCESS_LONG = r"AKIA[A-Z0-9]{14,}"
 HEX_LONG = r"[0-9a-f]{16,}"
-#: A token that could be a key: 16 or more characters, at least one digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: A token that could be a key: 16 or more characters, not all of them separators.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*+[A-Za-z0-9])[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Of characters 33 to 126 each has its own state; all others share one.
 STATES = 95

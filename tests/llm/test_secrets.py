@@ -47,6 +47,16 @@ def test_models_tell_keys_from_words(spark, sf_dir):
         assert found == ([("markov", 4, 4 + len(t))] if t in keys else []), t
 
 
+def test_keys_without_digits_are_found(spark, sf_dir):
+    model = S.train(S.labelled_samples(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    keys = ["wJalrXUtnFEMIKMDENGbPxRfiCYEX", "ZxQpLmKtVbNwRjHd", "QWXZJKVBNPFHDGTRMLCS"]
+    plain = ["internationalization", "one-two-three-four-five", "some_long_variable_name", "=" * 20, "-" * 20, "/" * 20, "+" * 20]
+    got = scan(spark, [f"say {t} now" for t in keys + plain], model)
+    for i, t in enumerate(keys + plain):
+        found = [(s["kind"], s["start"], s["end"]) for s in got[i]["spans"]]
+        assert found == ([("markov", 4, 4 + len(t))] if t in keys else []), t
+
+
 def test_method_spans_touch_no_base_span(spark):
     always = [5.0] * S.STATES**2
     row = scan(spark, ["token=Zx9Qp2Lm8Kt4Vb7Nw3Rj and Zx9Qp2Lm8Kt4Vb7Nw3Rj"], always)[0]
