@@ -1,10 +1,11 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions only.
 
 Mentions are found by one pattern per kind, joined into one so that they never
-overlap. Each distinct value (case folded) gets a surrogate of its kind and
-format from a keyed digest: digits become digits, letters become letters of
-their script and case, separators stay; names keep their title, so their
-gender, and get a name of that gender and script.
+overlap. Each distinct value (case folded, numbers without separators) gets a
+surrogate of its kind from a keyed digest, laid into the format of each
+mention: digits become digits, letters become letters of their script and case,
+separators stay. Given and family names are values of their own: names keep
+their title, so their gender, and get names of that gender and script.
 
 Surrogates are checked: one that another value has, or that is itself a value
 of the corpus, is drawn again with the next attempt number until none is left,
@@ -48,6 +49,12 @@ CYRILLIC = ("ба", "ден", "фи", "гор", "хал", "ка", "лин", "м
 LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC_LETTERS = "абвгдежзиклмнопрстуфхцчшэюя"
 GREEK_LETTERS = "αβγδεζηθικλμνξοπρστυφχψω"
+#: Endings of made-up names: Latin male and female, Cyrillic male and female. Fixed values.
+ENDINGS = {"given": ("o", "a", "ий", "ия"), "family": ("son", "sen", "ов", "ова")}
+#: Kinds whose values are written with and without separators.
+NUMBERS = ("ssn", "phone", "iban", "card")
+#: The country code of a number without separators, as ITU E.164 deals them.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d)"
 #: Attempts before drawing again is given up and an error is raised.
 ATTEMPTS = 40
 
@@ -103,35 +110,31 @@ def _letters(value: Column, stream: Column, fixed_from: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
-def _name(value: Column, stream: Column, attempt: Column) -> Column:
-    """A folded ``title name [name]`` with made-up names of its gender and script."""
-    title = F.substring_index(value, " ", 1)
-    names = F.size(F.split(value, " ")) - 1
-    bare = F.regexp_replace(title, r"\.$", "")
-    female = bare.isin([t.lower() for t in FEMALE])
-    cyrillic = F.substring_index(value, " ", -1).rlike(r"\p{IsCyrillic}")
-
-    def made(at: int, ends: tuple[str, str, str, str]) -> Column:
-        n = 2 + (attempt / 4).cast("int")
-        syllable = lambda words, i: F.element_at(F.array(*map(F.lit, words)), _byte(stream, i + at) % 16 + 1)
-        body = F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda i: F.when(cyrillic, syllable(CYRILLIC, i)).otherwise(syllable(LATIN, i)),
-            ),
-            "",
-        )
-        end = (
-            F.when(cyrillic & female, ends[3]).when(cyrillic, ends[2]).when(female, ends[1]).otherwise(F.lit(ends[0]))
-        )
-        return F.concat(body, end)
+def _stem(value: Column, stream: Column, attempt: Column) -> Column:
+    """A made-up given or family name of the script of ``value``, without its ending."""
+    cyrillic = value.rlike(r"\p{IsCyrillic}")
+    syllable = lambda words, i: F.element_at(F.array(*map(F.lit, words)), _byte(stream, i) % 16 + 1)
+    return F.array_join(
+        F.transform(
+            F.sequence(F.lit(0), (attempt / 2).cast("int") + 2),
+            lambda i: F.when(cyrillic, syllable(CYRILLIC, i)).otherwise(syllable(LATIN, i)),
+        ),
+        "",
+    )
 
-    given, family = made(0, ("o", "a", "ий", "ия")), made(40, ("son", "sen", "ов", "ова"))
-    return F.when(names >= 2, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
+
+def _ended(kind: str, stem: Column, title: Column) -> Column:
+    """A stem with the ending of its script and of the title's gender."""
+    female = F.regexp_replace(F.lower(title), r"\.$", "").isin([t.lower() for t in FEMALE])
+    ends = ENDINGS[kind]
+    cyrillic = stem.rlike(r"\p{IsCyrillic}")
+    return F.concat(
+        stem, F.when(cyrillic & female, ends[3]).when(cyrillic, ends[2]).when(female, ends[1]).otherwise(F.lit(ends[0]))
+    )
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a folded value. Same key, kind, value and attempt give the same."""
+    """The surrogate of a folded value; of a name the stem. Same key, kind, value and attempt give the same."""
     s = _stream(kind, value, attempt, key)
     size = F.length(value)
     octets = F.array_join(
@@ -147,13 +150,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     top_level = size - F.length(F.substring_index(value, ".", -1))
     return (
         F.when(kind == "ip", octets)
-        .when(kind == "name", _name(value, s, attempt))
+        .when(kind.isin(*ENDINGS), _stem(value, s, attempt))
         .when(kind == "email", _letters(value, s, top_level))
         .when(
             (kind == "phone") & value.startswith("+"),
             F.concat(
-                F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0),
-                _letters(F.regexp_replace(value, r"^\+\d{1,3}(?=[ .(-])|^\+\d", ""), s, F.lit(1 << 30)),
+                F.regexp_extract(value, COUNTRY, 0),
+                _letters(F.regexp_replace(value, COUNTRY, ""), s, F.lit(1 << 30)),
             ),
         )
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), _letters(F.substr(value, F.lit(3)), s, F.lit(1 << 30))))
@@ -161,17 +164,30 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def fold(value: Column) -> Column:
-    return F.lower(value)
+def fold(kind: Column, found: Column) -> Column:
+    """array<struct(kind, value)> of what a mention names: one value, or a name's given and family name."""
+    one = lambda k, v: F.struct(k.alias("kind"), F.lower(v).alias("value"))
+    words = F.split(found, " ")
+    family = one(F.lit("family"), F.element_at(words, -1))
+    bare = F.when(kind.isin(*NUMBERS), F.regexp_replace(found, r"[^\p{L}\p{N}+]", "")).otherwise(found)
+    return (
+        F.when((kind == "name") & (F.size(words) > 2), F.array(one(F.lit("given"), F.element_at(words, 2)), family))
+        .when(kind == "name", F.array(family))
+        .otherwise(F.array(one(kind, bare)))
+    )
 
 
 def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value, surrogate) for distinct folded (kind, value). Runs actions.
 
-    No two values of a kind share a surrogate and none is a value itself.
+    No two values of a kind share a surrogate and none is a value itself, nor a
+    stem one with any ending.
     """
     state = cut(values.select("kind", "value", F.lit(0).alias("attempt")))
-    taken = state.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
+    real = F.col("value")
+    for kind, ends in ENDINGS.items():
+        real = F.when(F.col("kind") == kind, F.regexp_replace("value", f"(?:{'|'.join(ends)})$", "")).otherwise(real)
+    taken = state.select("kind", real.alias("surrogate"), F.lit(True).alias("real")).distinct()
     for _ in range(ATTEMPTS):
         drawn = state.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         first = W.partitionBy("kind", "surrogate").orderBy("attempt", "value")
@@ -222,13 +238,20 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     own = hit.select("_k", "text").dropDuplicates(["_k"])
     mentions = cut(
         own.select("_k", F.posexplode(find(F.col("text"))).alias("pos", "found"))
-        .withColumn("kind", kind_of(F.col("found")))
-        .withColumn("value", fold(F.col("found")))
+        .select("*", F.explode(fold(kind_of(F.col("found")), F.col("found"))).alias("v"))
+        .select("_k", "pos", "found", "v.kind", "v.value")
     )
     table_ = surrogates(mentions.select("kind", "value").distinct(), key)
+    given = F.col("kind") == "given"
     new = (
         mentions.join(table_, ["kind", "value"])
-        .withColumn("new", _like_kind(F.col("kind"), F.col("found"), F.col("surrogate")))
+        .groupBy("_k", "pos", "found")
+        .agg(
+            F.max(F.when(given, F.col("surrogate"))).alias("given"),
+            F.max(F.when(~given, F.col("surrogate"))).alias("own"),
+            F.max(F.when(~given, F.col("kind"))).alias("kind"),
+        )
+        .withColumn("new", _like_kind(F.col("kind"), F.col("found"), F.col("given"), F.col("own")))
         .groupBy("_k")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"))
     )
@@ -242,13 +265,21 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     )
 
 
-def _like_kind(kind: Column, found: Column, new: Column) -> Column:
-    """Names keep the title as it was written; all else takes the mention's case."""
-    title = F.substring_index(found, " ", 1)
-    rest = F.substr(new, F.length(F.substring_index(new, " ", 1)) + 2)
-    return F.when(
-        kind == "name", F.concat(title, F.lit(" "), recase(F.substr(found, F.length(title) + 2), rest))
-    ).otherwise(recase(found, new))
+def _laid(found: Column, new: Column) -> Column:
+    """The letters and digits of ``new`` one by one in the places of those of ``found``."""
+    bare = F.regexp_replace(new, r"[^\p{L}\p{N}]", "")
+    nth = lambda i: F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
+    put = lambda c, i: F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.substr(bare, nth(i), F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(found, ""), put), "")
+
+
+def _like_kind(kind: Column, found: Column, given: Column, new: Column) -> Column:
+    """Names keep the title as it was written, numbers their separators; all else takes the mention's case."""
+    words = F.split(found, " ")
+    title = F.element_at(words, 1)
+    first = recase(F.try_element_at(words, F.lit(2)), _ended("given", given, title))
+    name = F.concat_ws(" ", title, first, recase(F.element_at(words, -1), _ended("family", new, title)))
+    return F.when(kind == "family", name).when(kind.isin(*NUMBERS), recase(found, _laid(found, new))).otherwise(recase(found, new))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

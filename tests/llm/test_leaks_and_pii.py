@@ -162,6 +162,25 @@ def test_coreference_and_distinctness(spark):
     assert replaced(spark, texts[:5]) == replaced(spark, texts[:5]) != replaced(spark, texts[:5], key="other")
 
 
+def test_writings_of_one_entity_stay_linked(spark):
+    numbers = [
+        ("+1 017 555 7713", "+1-017-555-7713"), ("+44 20 7946 0958", "+442079460958"), ("(217) 555-7713", "217.555.7713"),
+        ("4111 1111 1111 1111", "4111111111111111"), ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"),
+    ]
+    names = ["Mr John Smith", "Mr Smith", "Dr. Smith", "Mr. JOHN SMITH", "Mr John Brown", "Mrs Jane Smith", "Mrs. Smith"]
+    out = [t for t, _ in replaced(spark, [f"at {x} or" for pair in numbers for x in pair] + [f"at {x}, or" for x in names])]
+    shape = lambda t: re.sub(r"\d", "0", re.sub(r"[A-Z]", "A", t))
+    bare = lambda t: re.sub(r"[^A-Z0-9+]", "", t[3:-3])
+    for i, (a, b) in enumerate(numbers):
+        assert bare(out[2 * i]) == bare(out[2 * i + 1]) != bare(f"at {a} or")
+        assert [shape(t) for t in out[2 * i : 2 * i + 2]] == [shape(f"at {x} or") for x in (a, b)]
+    made = [t[3:-4].split() for t in out[2 * len(numbers) :]]
+    assert [m[0] for m in made] == ["Mr", "Mr", "Dr.", "Mr.", "Mr", "Mrs", "Mrs."]
+    (_, john, smith), (_, family), (_, doctor), (_, john2, smith2), (_, john3, brown), (_, jane, wife), (_, wife2) = made
+    assert smith == family == doctor == smith2.title() and john == john2.title() == john3
+    assert smith != brown and wife == wife2 and wife[:-3] == smith[:-3] and john != jane
+
+
 def test_pii_edges(spark):
     rows = [(1, "ip 1.2.3.4", "a"), (1, "ip 1.2.3.4", "a"), (1, "other 1.2.3.4", None), (None, "ip 1.2.3.4", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string").withColumn("value", F.lit(7)).withColumn("pos", F.lit(7))
