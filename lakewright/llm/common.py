@@ -30,3 +30,12 @@ def lower_ascii(text: Column) -> Column:
 def hex_long(text: Column) -> Column:
     """The first 15 hex digits of an md5 as a non-negative long."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

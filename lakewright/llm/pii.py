@@ -1,34 +1,41 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions only.
 
 Mentions are found by one pattern per kind, joined into one so that they never
-overlap. Each distinct value (case folded, numbers without separators) gets a
-surrogate of its kind from a keyed digest, laid into the format of each
-mention: digits become digits, letters become letters of their script and case,
-separators stay. Given and family names are values of their own: names keep
-their title, so their gender, and get names of that gender and script.
-
-Surrogates are checked: one that another value has, or that is itself a value
-of the corpus, is drawn again with the next attempt number until none is left,
-so different values stay different and the same value is the same everywhere.
-Values and surrogates stay distributed tables.
+overlap. A value's surrogate is a keyed permutation of all values of its shape,
+so different values stay different whatever the corpus holds, the same value is
+the same everywhere, and nothing has to be drawn again, joined or shuffled. A
+shape says which characters are of which class: digits become digits, letters
+become letters of their script, octets octets of their length; separators,
+country codes, top-level domains and the case of each letter stay.
+
+The permutation is ``P^-1 (P(value) + 1)``, where P is a Feistel network over
+the characters' places in their classes: a bijection of the shape without a
+fixed point. Check digits are made anew, at the distance from the right ones
+that the value's had, so valid cards and IBANs stay valid ones.
+
+Names keep their title, their last letters (so their gender), vowels and
+consonants. A name that a title introduces is replaced wherever the text has it
+again, with title or without.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import table
-from lakewright.plans.checkpoints import cut
+from lakewright.llm.common import spare, table
 
 KEY = "surrogates-1"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Titles by gender, as texts write them. Fixed values.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "г-жа")
-NEUTRAL = ("Dr", "Prof", "Mx")
-_TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+#: Titles, as texts write them. Fixed values.
+TITLES = (
+    *("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н"),
+    *("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "г-жа"),
+    *("Dr", "Prof", "Mx"),
+)
+_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 #: kind -> pattern, in order of precedence. Fixed values.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -41,27 +48,48 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every mention but a name holds a digit or an @; every name one of the titles.
-_INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
+_INITIALS = "".join(sorted({t[0] for t in TITLES}))
 TITLED = rf"(?=[{_INITIALS}])(?:{_TITLE})\.? \p{{Lu}}"
-#: Syllables of made-up names and letters of made-up words, by script. Fixed values.
-LATIN = ("ba", "den", "fi", "gor", "hal", "ka", "lin", "mo", "nar", "pel", "ri", "sten", "tu", "ven", "wal", "zo")
-CYRILLIC = ("ба", "ден", "фи", "гор", "хал", "ка", "лин", "мо", "нар", "пел", "ри", "стен", "ту", "вен", "вал", "зо")
-LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-CYRILLIC_LETTERS = "абвгдежзиклмнопрстуфхцчшэюя"
-GREEK_LETTERS = "αβγδεζηθικλμνξοπρστυφχψω"
-#: Endings of made-up names: Latin male and female, Cyrillic male and female. Fixed values.
-ENDINGS = {"given": ("o", "a", "ий", "ия"), "family": ("son", "sen", "ов", "ова")}
-#: Kinds whose values are written with and without separators.
-NUMBERS = ("ssn", "phone", "iban", "card")
-#: The country code of a number without separators, as ITU E.164 deals them.
+#: A family name stands for its owner without a title from so many letters on.
+BARE_NAME = 3
+#: Classes of characters, and for names vowels and consonants apart. Fixed values.
+CLASSES = (
+    "0123456789",
+    "abcdefghijklmnopqrstuvwxyz",
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ",
+    "абвгдежзийклмнопрстуфхцчшщъыьэюяё",
+    "αβγδεζηθικλμνξοπρστυφχψω",
+)
+NAME_CLASSES = (
+    "aeiouy",
+    "bcdfghjklmnpqrstvwxz",
+    "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ",
+    "çðñþ",
+    "аеиоуыэюяё",
+    "бвгджзйклмнпрстфхцчшщъь",
+    "αεηιουω",
+    "βγδζθκλμνξπρστφχψ",
+)
+#: Scripts that are classes by their code points (first, last). Fixed values.
+RANGES = (
+    (0x05D0, 0x05EA),
+    (0x0621, 0x064A),
+    (0x0904, 0x0939),
+    (0x3041, 0x3096),
+    (0x30A1, 0x30FA),
+    (0x4E00, 0x9FFF),
+    (0xAC00, 0xD7A3),
+)
+#: Rounds of the Feistel network, there and back.
+ROUNDS = 4
+#: The country code of a number without separators, as ITU E.164 deals them. Fixed value.
 COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d)"
-#: Attempts before drawing again is given up and an error is raised.
-ATTEMPTS = 40
+SEPARATORS = r"[^\p{L}\p{N}]"
 
 
-def find(text: Column) -> Column:
+def find(text: Column, pattern: Column | None = None) -> Column:
     """array<string> of the mentions in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), 0)
+    return F.regexp_extract_all(text, F.lit(ANY) if pattern is None else pattern, 0)
 
 
 def has_mention(text: Column) -> Column:
@@ -70,6 +98,17 @@ def has_mention(text: Column) -> Column:
     return F.coalesce(may & text.rlike(ANY), F.lit(False))
 
 
+def pattern_of(text: Column) -> Column:
+    """The pattern of a text's mentions: ANY, and the names its titles introduce."""
+    titled = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), 0)
+    bare = F.transform(titled, lambda m: F.regexp_replace(m, r"^\S+ ", ""))
+    full = F.filter(bare, lambda m: F.contains(m, F.lit(" ")))
+    family = F.filter(F.transform(bare, lambda m: F.substring_index(m, " ", -1)), lambda m: F.length(m) >= BARE_NAME)
+    again = F.array_join(F.array_distinct(F.concat(full, family)), "|")
+    with_names = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}-])(?:"), again, F.lit(r")(?![\p{L}\p{N}-])"))
+    return F.when(text.rlike(TITLED) & (again != ""), with_names).otherwise(F.lit(ANY))
+
+
 def kind_of(found: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(PATTERNS.items())[:-1]):
@@ -77,209 +116,236 @@ def kind_of(found: Column) -> Column:
     return out
 
 
-def _byte(stream: Column, i: Column) -> Column:
-    """Byte i (from 0, round and round) of a hex stream of 128 bytes."""
-    return F.conv(F.substr(stream, (i % 128 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _stream(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    parts = [
-        F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"), F.lit(str(b))).cast("binary"), 256)
-        for b in range(4)
-    ]
-    return F.concat(*parts)
+def _slots(chars: Column, classes: tuple[str, ...], lead: bool) -> Column:
+    """array<struct(at, base, size)>: each character's place in its class; size 0 stays as it is."""
+    every = "".join(classes)
+    base = [len("".join(classes[:k])) for k, c in enumerate(classes) for _ in c]
+    size = [len(c) for c in classes for _ in c]
 
-
-def _letters(value: Column, stream: Column, fixed_from: Column) -> Column:
-    """Each digit and letter before ``fixed_from`` (from 0) replaced in kind."""
-    chars = F.split(value, "")
+    def slot(at: Column, base_: Column, size_: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), base_.cast("int").alias("base"), size_.cast("int").alias("size"))
 
     def one(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
-        pick = lambda alphabet: F.substr(F.lit(alphabet), b % len(alphabet) + 1, F.lit(1))
-        letter = (
-            F.when(c.rlike(r"\p{IsCyrillic}"), pick(CYRILLIC_LETTERS))
-            .when(c.rlike(r"\p{IsGreek}"), pick(GREEK_LETTERS))
-            .otherwise(pick(LATIN_LETTERS))
-        )
-        digit = F.when(i == 0, (b % 9 + 1).cast("string")).otherwise((b % 10).cast("string"))
-        return (
-            F.when(i >= fixed_from, c).when(c.rlike(r"^\p{Nd}$"), digit).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
+        p, code = F.instr(F.lit(every), c), F.ascii(c)
+        out = slot(F.lit(0), F.lit(0), F.lit(0))
+        for k, (first, last) in enumerate(RANGES):
+            out = F.when(code.between(first, last), slot(code - first, F.lit(1000 + k), F.lit(last - first + 1))).otherwise(out)
+        start = F.element_at(F.lit(base), p)
+        out = F.when(p > 0, slot(p - 1 - start, start, F.element_at(F.lit(size), p))).otherwise(out)
+        if lead:
+            # A number's first digit stays 0 or not 0.
+            zero = slot(F.lit(0), F.lit(0), F.lit(0))
+            out = F.when((i == 0) & (c == "0"), zero).when((i == 0) & (p > 1) & (p <= 10), slot(p - 2, F.lit(1), F.lit(9))).otherwise(out)
+        return F.when(c == "", slot(F.lit(0), F.lit(0), F.lit(0))).otherwise(out)
+
+    return F.transform(chars, one)
+
+
+def _permuted(slots: Column, tag: Column, key: str) -> Column:
+    """array<int>: the places that the keyed permutation gives, for a column variable ``slots``."""
+    n = F.size(slots)
+    half = (n / 2).cast("int")
+    shape = F.array_join(F.transform(slots, lambda s: F.concat_ws(".", s["base"].cast("string"), s["size"].cast("string"))), ",")
+
+    def rounds(prefix: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            turn = F.when(j < ROUNDS, j).otherwise(2 * ROUNDS - j)
+            sign = F.when(j < ROUNDS, 1).otherwise(-1)
+            left = turn % 2 == 0
+            half_of = F.transform(acc, lambda x, i: F.when((i < half) == left, x.cast("string")).otherwise(""))
+            seed = F.sha2(F.concat_ws("/", prefix, turn.cast("string"), F.array_join(half_of, ",")).cast("binary"), 256)
+            block = lambda seed: F.transform(
+                F.sequence(F.lit(0), (n / 16).cast("int")), lambda b: F.sha2(F.concat(seed, b.cast("string")).cast("binary"), 256)
+            )
+
+            def moved(stream: Column) -> Column:
+                word = lambda i: F.conv(F.substr(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.transform(
+                    acc,
+                    lambda x, i: F.when(slots[i]["size"] == 0, x)
+                    .when(j == ROUNDS, (x + 1) % slots[i]["size"])
+                    .when((i < half) == left, x)
+                    .otherwise(F.pmod(x + sign * word(i), slots[i]["size"])),
+                )
+
+            return _let(F.array_join(_let(seed, block), ""), moved)
+
+        start = F.transform(slots, lambda s: s["at"])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS)), start, step)
+
+    return _let(F.concat_ws("\x1f", F.lit(key), tag, shape), rounds)
+
+
+def _swapped(
+    text: Column, tag: Column, key: str, *, classes=CLASSES, lead: bool = False, upto: Column | None = None
+) -> Column:
+    """``text`` (lower case) with each character before ``upto`` (from 0) replaced within its class."""
+    every = "".join(classes)
+    chars = F.split(text, "")
+    if upto is not None:
+        chars = F.transform(chars, lambda c, i: F.when(i < upto, c).otherwise(""))
+
+    def put(at: Column, slot: Column) -> Column:
+        first = F.element_at(F.lit([a for a, _ in RANGES]), slot["base"] - 999)
+        code = F.lpad(F.hex((first + at).cast("long")), 8, "0")
+        return F.when(slot["base"] >= 1000, F.decode(F.unhex(code), "UTF-32")).otherwise(
+            F.substr(F.lit(every), slot["base"] + at + 1, F.lit(1))
         )
 
-    return F.array_join(F.transform(chars, one), "")
+    def done(slots: Column) -> Column:
+        new = F.zip_with(_permuted(slots, tag, key), slots, lambda at, s: F.when(s["size"] > 0, put(at, s)))
+        return F.array_join(F.zip_with(F.split(text, ""), new, lambda c, x: F.coalesce(x, c)), "")
 
+    return _let(_slots(chars, classes, lead), done)
 
-def _stem(value: Column, stream: Column, attempt: Column) -> Column:
-    """A made-up given or family name of the script of ``value``, without its ending."""
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    syllable = lambda words, i: F.element_at(F.array(*map(F.lit, words)), _byte(stream, i) % 16 + 1)
-    return F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), (attempt / 2).cast("int") + 2),
-            lambda i: F.when(cyrillic, syllable(CYRILLIC, i)).otherwise(syllable(LATIN, i)),
-        ),
-        "",
-    )
 
+def _octets(text: Column, tag: Column, key: str) -> Column:
+    def slot(o: Column) -> Column:
+        base = F.when(F.length(o) == 3, 100).when(F.length(o) == 2, 10).otherwise(0)
+        size = F.when(F.length(o) == 3, 156).when(F.length(o) == 2, 90).otherwise(10)
+        return F.struct((o.cast("int") - base).alias("at"), base.alias("base"), size.alias("size"))
 
-def _ended(kind: str, stem: Column, title: Column) -> Column:
-    """A stem with the ending of its script and of the title's gender."""
-    female = F.regexp_replace(F.lower(title), r"\.$", "").isin([t.lower() for t in FEMALE])
-    ends = ENDINGS[kind]
-    cyrillic = stem.rlike(r"\p{IsCyrillic}")
-    return F.concat(
-        stem, F.when(cyrillic & female, ends[3]).when(cyrillic, ends[2]).when(female, ends[1]).otherwise(F.lit(ends[0]))
+    join = lambda slots: F.array_join(
+        F.zip_with(_permuted(slots, tag, key), slots, lambda at, s: (at + s["base"]).cast("string")), "."
     )
+    return _let(F.transform(F.split(text, r"\."), slot), join)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a folded value; of a name the stem. Same key, kind, value and attempt give the same."""
-    s = _stream(kind, value, attempt, key)
-    size = F.length(value)
-    octets = F.array_join(
-        F.transform(
-            F.split(value, r"\."),
-            lambda o, i: F.when(F.length(o) == 3, _byte(s, i) % 156 + 100)
-            .when(F.length(o) == 2, _byte(s, i) % 90 + 10)
-            .otherwise(_byte(s, i) % 9 + 1)
-            .cast("string"),
-        ),
-        ".",
-    )
-    top_level = size - F.length(F.substring_index(value, ".", -1))
-    return (
-        F.when(kind == "ip", octets)
-        .when(kind.isin(*ENDINGS), _stem(value, s, attempt))
-        .when(kind == "email", _letters(value, s, top_level))
-        .when(
-            (kind == "phone") & value.startswith("+"),
-            F.concat(
-                F.regexp_extract(value, COUNTRY, 0),
-                _letters(F.regexp_replace(value, COUNTRY, ""), s, F.lit(1 << 30)),
-            ),
-        )
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _letters(F.substr(value, F.lit(3)), s, F.lit(1 << 30))))
-        .otherwise(_letters(value, s, F.lit(1 << 30)))
+def luhn(payload: Column) -> Column:
+    """The check digit that belongs behind a string of digits."""
+    m = F.length(payload)
+    twice = lambda d: 2 * d - F.when(d > 4, 9).otherwise(0)
+    one = lambda c, i: F.when((m - 1 - i) % 2 == 0, twice(c.cast("int"))).otherwise(c.cast("int"))
+    total = F.aggregate(F.transform(F.split(payload, ""), one), F.lit(0), lambda a, x: a + x)
+    return (10 - total % 10) % 10
+
+
+def iban_check(account: Column, country: Column) -> Column:
+    """The two check digits, as a number, of a lower-case account number and country."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 87)
+    step = lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97
+    return 98 - F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step)
+
+
+def _card(digits: Column, key: str) -> Column:
+    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    off = F.pmod(F.substring(digits, -1, 1).cast("int") - luhn(payload), F.lit(10))
+    new = lambda off: _let(
+        _swapped(payload, F.concat(F.lit("card"), off.cast("string")), key, lead=True),
+        lambda p: F.concat(p, ((luhn(p) + off) % 10).cast("string")),
     )
+    return _let(off, new)
 
 
-def fold(kind: Column, found: Column) -> Column:
-    """array<struct(kind, value)> of what a mention names: one value, or a name's given and family name."""
-    one = lambda k, v: F.struct(k.alias("kind"), F.lower(v).alias("value"))
-    words = F.split(found, " ")
-    family = one(F.lit("family"), F.element_at(words, -1))
-    bare = F.when(kind.isin(*NUMBERS), F.regexp_replace(found, r"[^\p{L}\p{N}+]", "")).otherwise(found)
-    return (
-        F.when((kind == "name") & (F.size(words) > 2), F.array(one(F.lit("given"), F.element_at(words, 2)), family))
-        .when(kind == "name", F.array(family))
-        .otherwise(F.array(one(kind, bare)))
+def _iban(value: Column, key: str) -> Column:
+    country, account = F.substring(value, 1, 2), F.substr(value, F.lit(5))
+    off = F.pmod(F.substring(value, 3, 2).cast("int") - iban_check(account, country), F.lit(100))
+    new = lambda off: _let(
+        _swapped(account, F.concat(F.lit("iban"), country, off.cast("string")), key),
+        lambda a: F.concat(country, F.lpad((F.pmod(iban_check(a, country) + off, F.lit(100))).cast("string"), 2, "0"), a),
     )
+    return _let(off, new)
 
 
-def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value, surrogate) for distinct folded (kind, value). Runs actions.
+def _phone(value: Column, key: str) -> Column:
+    own = _swapped(F.regexp_replace(value, COUNTRY, ""), F.lit("phone"), key, lead=True)
+    return F.concat(F.regexp_extract(value, COUNTRY, 0), own)
 
-    No two values of a kind share a surrogate and none is a value itself, nor a
-    stem one with any ending.
-    """
-    state = cut(values.select("kind", "value", F.lit(0).alias("attempt")))
-    real = F.col("value")
-    for kind, ends in ENDINGS.items():
-        real = F.when(F.col("kind") == kind, F.regexp_replace("value", f"(?:{'|'.join(ends)})$", "")).otherwise(real)
-    taken = state.select("kind", real.alias("surrogate"), F.lit(True).alias("real")).distinct()
-    for _ in range(ATTEMPTS):
-        drawn = state.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
-        first = W.partitionBy("kind", "surrogate").orderBy("attempt", "value")
-        drawn = drawn.withColumn("at", F.row_number().over(first)).join(taken, ["kind", "surrogate"], "left")
-        state = cut(
-            drawn.withColumn("clash", (F.col("at") > 1) | F.col("real").isNotNull()).select(
-                "kind", "value", "surrogate", "clash", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt")
-            )
+
+def _name(found: Column, key: str) -> Column:
+    def one(word: Column, i: Column) -> Column:
+        title = (i == 0) & F.regexp_replace(word, r"\.$", "").isin(*TITLES)
+        size = F.length(word)
+        upto = size - F.when(size >= 4, 2).otherwise(1)
+        return F.when(title, word).otherwise(
+            recase(word, _swapped(F.lower(word), F.lit("name"), key, classes=NAME_CLASSES, upto=upto))
         )
-        if state.filter("clash").limit(1).count() == 0:
-            return state.select("kind", "value", "surrogate")
-        state = state.select("kind", "value", "attempt")
-    raise ValueError(f"surrogates still clash after {ATTEMPTS} attempts")
 
+    return F.array_join(F.transform(F.split(found, " "), one), " ")
 
-def recase(like: Column, new: Column) -> Column:
-    """``new`` in the case of ``like``: all capitals, character by character, or by word."""
-    upper = F.when(like == F.upper(like), F.upper(new))
-    same = F.array_join(
-        F.zip_with(
-            F.split(like, ""), F.split(new, ""), lambda a, b: F.when(a == F.lower(a), b).otherwise(F.upper(b))
-        ),
-        "",
-    )
-    by_word = F.array_join(
-        F.transform(
-            F.split(new, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
-        ),
-        " ",
-    )
-    return F.coalesce(
-        F.when(like == F.lower(like), new), upper, F.when(F.length(like) == F.length(new), same), by_word
-    )
 
+def value_of(kind: Column, found: Column) -> Column:
+    """What a mention names, without case and separators; of a name its words without title."""
+    bare = F.regexp_replace(F.lower(found), r"[^\p{L}\p{N}+]", "")
+    words = F.filter(
+        F.split(found, " "), lambda w, i: ~((i == 0) & F.regexp_replace(w, r"\.$", "").isin(*TITLES))
+    )
+    name = F.lower(F.array_join(words, " "))
+    return F.when(kind.isin("ssn", "phone", "iban", "card"), bare).when(kind == "name", name).otherwise(F.lower(found))
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with surrogates in text, plus n_entities (long).
 
-    Texts without mentions, null and empty ones too, come back as they were
-    with 0. Rows that repeat a doc_id are told apart by their texts; repeated
-    rows come back alike; an empty table gives no rows; other columns pass.
-    Runs actions.
-    """
-    cols = docs.columns
-    has = has_mention(F.col("text"))
-    plain = docs.filter(~has).withColumn("_n", F.lit(0).cast("long"))
-    hit = cut(docs.filter(has).withColumn("_k", F.md5(F.col("text").cast("binary"))))
-    own = hit.select("_k", "text").dropDuplicates(["_k"])
-    mentions = cut(
-        own.select("_k", F.posexplode(find(F.col("text"))).alias("pos", "found"))
-        .select("*", F.explode(fold(kind_of(F.col("found")), F.col("found"))).alias("v"))
-        .select("_k", "pos", "found", "v.kind", "v.value")
-    )
-    table_ = surrogates(mentions.select("kind", "value").distinct(), key)
-    given = F.col("kind") == "given"
-    new = (
-        mentions.join(table_, ["kind", "value"])
-        .groupBy("_k", "pos", "found")
-        .agg(
-            F.max(F.when(given, F.col("surrogate"))).alias("given"),
-            F.max(F.when(~given, F.col("surrogate"))).alias("own"),
-            F.max(F.when(~given, F.col("kind"))).alias("kind"),
-        )
-        .withColumn("new", _like_kind(F.col("kind"), F.col("found"), F.col("given"), F.col("own")))
-        .groupBy("_k")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"))
-    )
-    gaps = F.split("text", ANY, -1)
-    whole = F.array_join(
-        F.zip_with(gaps, F.transform("_new", lambda x: x["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), ""
+def surrogate(kind: Column, found: Column, key: str = KEY) -> Column:
+    """The replacement of a mention, in its format and case. Pass column variables or columns."""
+    low = F.lower(found)
+    bare = F.regexp_replace(low, r"[^\p{L}\p{N}+]", "")
+    top_level = F.length(low) - F.length(F.substring_index(low, ".", -1))
+    laid = lambda new: recase(found, _laid(found, new))
+    return (
+        F.when(kind == "ip", _octets(found, F.lit("ip"), key))
+        .when(kind == "email", recase(found, _swapped(low, F.lit("email"), key, upto=top_level)))
+        .when(kind == "phone", _let(_phone(bare, key), laid))
+        .when(kind == "ssn", _let(_swapped(bare, F.lit("ssn"), key, lead=True), laid))
+        .when(kind == "card", _let(_card(bare, key), laid))
+        .when(kind == "iban", _let(_iban(bare, key), laid))
+        .otherwise(_name(found, key))
     )
-    done = hit.join(new, "_k").withColumn("_n", F.size("_new").cast("long")).withColumn("text", whole)
-    return done.select(*cols, F.col("_n").alias("n_entities")).unionByName(
-        plain.select(*cols, F.col("_n").alias("n_entities"))
+
+
+def recase(like: Column, new: Column) -> Column:
+    """``new`` with capitals where ``like`` has them, character by character."""
+    return F.array_join(
+        F.zip_with(F.split(like, ""), F.split(new, ""), lambda a, b: F.when(a == F.lower(a), b).otherwise(F.upper(b))), ""
     )
 
 
 def _laid(found: Column, new: Column) -> Column:
     """The letters and digits of ``new`` one by one in the places of those of ``found``."""
-    bare = F.regexp_replace(new, r"[^\p{L}\p{N}]", "")
-    nth = lambda i: F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
+    bare = F.regexp_replace(new, SEPARATORS, "")
+    nth = lambda i: F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), SEPARATORS, ""))
     put = lambda c, i: F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.substr(bare, nth(i), F.lit(1))).otherwise(c)
     return F.array_join(F.transform(F.split(found, ""), put), "")
 
 
-def _like_kind(kind: Column, found: Column, given: Column, new: Column) -> Column:
-    """Names keep the title as it was written, numbers their separators; all else takes the mention's case."""
-    words = F.split(found, " ")
-    title = F.element_at(words, 1)
-    first = recase(F.try_element_at(words, F.lit(2)), _ended("given", given, title))
-    name = F.concat_ws(" ", title, first, recase(F.element_at(words, -1), _ended("family", new, title)))
-    return F.when(kind == "family", name).when(kind.isin(*NUMBERS), recase(found, _laid(found, new))).otherwise(recase(found, new))
+def clashes(mentions: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, surrogate, n): surrogates that more than one value of (found) would get. Empty, or a fault.
+
+    Null mentions count as none. An empty table gives no rows.
+    """
+    kind = mentions.filter("found is not null").select("found", kind_of(F.col("found")).alias("kind"))
+    new = kind.distinct().select("kind", "found", surrogate(F.col("kind"), F.col("found"), key).alias("new"))
+    own = new.select(
+        "kind", value_of(F.col("kind"), F.col("found")).alias("value"), value_of(F.col("kind"), F.col("new")).alias("surrogate")
+    )
+    return own.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def replace_pii(docs: DataFrame, key: str = KEY, *, check: bool = True) -> DataFrame:
+    """``docs`` (text, ...) with surrogates in text, plus n_entities (long).
+
+    One projection, so nothing is shuffled; ``check`` runs an action before it
+    that raises if two values would share a surrogate. Texts without mentions,
+    null and empty ones too, come back as they were with 0. Repeated rows come
+    back alike; an empty table gives no rows; other columns pass, but for a
+    column n_entities, which is replaced.
+    """
+    rest = [c for c in docs.columns if c.lower() != "n_entities"]
+    text = F.col("text")
+    pattern, found = spare(docs, "pattern"), spare(docs, "found")
+    marked = docs.select(*[F.col(f"`{c}`") for c in rest], F.when(has_mention(text), pattern_of(text)).alias(pattern))
+    if check:
+        said = marked.filter(F.col(pattern).isNotNull()).select(F.explode(find(text, F.col(pattern))).alias("found"))
+        if clashes(said, key).limit(1).count():
+            raise ValueError("two values would share a surrogate")
+    marked = marked.withColumn(found, F.when(F.col(pattern).isNotNull(), find(text, F.col(pattern))))
+    new = F.transform(F.col(found), lambda m: _let(kind_of(m), lambda k: surrogate(k, m, key)))
+    whole = F.zip_with(F.split(text, F.col(pattern), -1), new, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit(""))))
+    out = [F.coalesce(F.array_join(whole, ""), text).alias(c) if c == "text" else F.col(f"`{c}`") for c in rest]
+    return marked.select(*out, F.coalesce(F.greatest(F.size(found), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
