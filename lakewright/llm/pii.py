@@ -121,6 +121,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _numbers(values) -> Column:
+    """A constant array<int>; made as one expression, for a literal each costs the driver a call."""
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def _slots(chars: Column, classes: tuple[str, ...], lead: bool) -> Column:
     """array<struct(at, base, size)>: each character's place in its class; size 0 stays as it is."""
     every = "".join(classes)
@@ -135,8 +140,8 @@ def _slots(chars: Column, classes: tuple[str, ...], lead: bool) -> Column:
         out = slot(F.lit(0), F.lit(0), F.lit(0))
         for k, (first, last) in enumerate(RANGES):
             out = F.when(code.between(first, last), slot(code - first, F.lit(1000 + k), F.lit(last - first + 1))).otherwise(out)
-        start = F.element_at(F.lit(base), p)
-        out = F.when(p > 0, slot(p - 1 - start, start, F.element_at(F.lit(size), p))).otherwise(out)
+        start = F.element_at(_numbers(base), p)
+        out = F.when(p > 0, slot(p - 1 - start, start, F.element_at(_numbers(size), p))).otherwise(out)
         if lead:
             # A number's first digit stays 0 or not 0.
             zero = slot(F.lit(0), F.lit(0), F.lit(0))
@@ -191,7 +196,7 @@ def _swapped(
         chars = F.transform(chars, lambda c, i: F.when(i < upto, c).otherwise(""))
 
     def put(at: Column, slot: Column) -> Column:
-        first = F.element_at(F.lit([a for a, _ in RANGES]), slot["base"] - 999)
+        first = F.element_at(_numbers(a for a, _ in RANGES), slot["base"] - 999)
         code = F.lpad(F.hex((first + at).cast("long")), 8, "0")
         return F.when(slot["base"] >= 1000, F.decode(F.unhex(code), "UTF-32")).otherwise(
             F.substr(F.lit(every), slot["base"] + at + 1, F.lit(1))
