@@ -6,8 +6,8 @@ joins ``ROWS`` minhashes. Every pair (A_i, B_j) is the key of one table, so
 
 Copies with equal shingle sets are one representative before any table is
 filled. A table's bucket yields one edge per member, to a pivot drawn for that
-bucket, never all pairs; edges whose minhashes agree too seldom to be near
-duplicates go. What hangs together is a group, and each group's shingle sets
+bucket, never all pairs; edges whose minhashes agree too seldom to be links
+go. What hangs together is a group, and each group's shingle sets
 are compared in blocks of bounded size by a search that visits a text once:
 it compares it with the texts not yet reached, so a group of near copies costs
 little more than one pass. Groups over one block are searched in two different
@@ -33,8 +33,6 @@ PERCENT = 80
 ROWS = 2
 SKETCHES = 8
 MINHASHES = 2 * SKETCHES * ROWS
-#: An edge of a bucket stays if so many of its 32 minhashes agree (26 expected at 0.8).
-AGREE = 15
 #: Shingles of a block (8 bytes each).
 BLOCK_SHINGLES = 2_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -140,6 +138,8 @@ def linked_components(
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, t (hash of the text) and the sketch of each row."""
+
     @F.pandas_udf("n long, h1 long, h2 long, mh array<int>")
     def sketch(text: pd.Series) -> pd.DataFrame:
         rows = []
@@ -148,7 +148,20 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
             rows.append((len(s), *set_digest(s), minhashes(s)))
         return pd.DataFrame(rows, columns=["n", "h1", "h2", "mh"])
 
-    return docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
+    own = docs.select("doc_id", F.xxhash64("text").alias("t"), sketch("text").alias("s"))
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), "t", "s.*")
+
+
+def _once(rows: DataFrame, chosen: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """``chosen`` (keys, c, ...) with the least ``value`` of the rows of its keys, one at least and c at most.
+
+    Only where there may be several is anything aggregated, and many copies of
+    one row meet as partial results, not in one task.
+    """
+    cols = chosen.columns
+    joined = rows.select(*keys, value.alias("value")).join(chosen, keys)
+    many = joined.filter("c > 1").groupBy(*cols).agg(F.min("value").alias("value"))
+    return joined.filter("c = 1").select(*cols, "value").unionByName(many)
 
 
 def _table_keys() -> Column:
@@ -166,91 +179,123 @@ def _search(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataF
     """(src, dst) spanning edges of the links inside each block of ``rows``."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["rep", "text"])
-        sets = [shingles(t, words) for t in pdf["text"]]
-        right = np.array([set_digest(s)[0] == h for s, h in zip(sets, pdf["h1"], strict=True)], bool)
-        at = np.flatnonzero(right)
-        at = at[np.unique(pdf["rep"].to_numpy()[at], return_index=True)[1]]
-        ids = pdf["rep"].to_numpy()[at]
+        pdf = pdf.drop_duplicates(["node"])
+        ids = pdf["node"].to_numpy()
         if len(ids) < 2:
             return pd.DataFrame({"src": ids[:0], "dst": ids[:0]})
-        root = linked_components(ids, [sets[i] for i in at], pdf["label"].to_numpy()[at], percent)
+        root = linked_components(ids, [shingles(t, words) for t in pdf["text"]], pdf["label"].to_numpy(), percent)
         moved = root != ids
         return pd.DataFrame({"src": ids[moved], "dst": root[moved]})
 
     return rows.groupBy(*keys).applyInPandas(block, "src long, dst long")
 
 
-def near_duplicates(
-    docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
+def _components(docs: DataFrame, words: int, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's sketch (doc_id, t, n, h1, h2), and (h1, h2, n, c, doc, t, component) of each set.
 
-    component_id is the smallest doc_id reachable over links of similarity
-    ``percent`` or more. A null or empty text has no shingles, links with
-    nothing and is its own component; so is a row without doc_id, with a null
-    component. Rows that repeat a doc_id share its component. An empty table
-    gives no rows; other columns are ignored. Runs actions.
+    A node is a shingle set, whatever ids its c rows have; ``doc`` is the
+    smallest of them, ``t`` the text hash of a row of that id, and
+    ``component`` a node that all sets linked with it name.
     """
-    all_rows = cut(_sketched(docs, words))
-    reps = cut(
-        all_rows.filter("n > 0 and doc_id is not null")
-        .groupBy("h1", "h2", "n")
-        .agg(F.min("doc_id").cast("long").alias("rep"), F.first("mh").alias("mh"))
+    rows = cut(_sketched(docs, words))
+    named = rows.filter("n > 0 and doc_id is not null")
+    nodes = cut(
+        named.groupBy("h1", "h2", "n")
+        .agg(F.min(F.struct("doc_id", "t", "mh")).alias("m"), F.count(F.lit(1)).alias("c"))
+        .select("h1", "h2", "n", "c", "m.*", F.monotonically_increasing_id().alias("node"))
     )
-    in_tables = reps.select("rep", F.explode(_table_keys()).alias("key"))
+    in_tables = nodes.select("node", "h1", F.explode(_table_keys()).alias("key"))
     pivots = (
         in_tables.groupBy("key")
-        .agg(F.min(F.struct(F.xxhash64("rep", "key").alias("o"), F.col("rep").alias("pivot"))).alias("p"), F.count(F.lit(1)).alias("c"))
+        .agg(F.min(F.struct(F.xxhash64("h1", "key").alias("o"), F.col("node").alias("pivot"))).alias("p"), F.count(F.lit(1)).alias("c"))
         .filter("c > 1")
         .select("key", "p.pivot")
     )
-    pairs = in_tables.join(pivots, "key").filter("rep <> pivot").select("rep", "pivot").distinct()
-    mine, other = reps.select("rep", "mh"), reps.select(F.col("rep").alias("pivot"), F.col("mh").alias("mh2"))
+    pairs = in_tables.join(pivots, "key").filter("node <> pivot").select("node", "pivot").distinct()
+    mine, other = nodes.select("node", "mh"), nodes.select(F.col("node").alias("pivot"), F.col("mh").alias("mh2"))
     same = F.aggregate(
         F.zip_with("mh", "mh2", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x
     )
-    edges = cut(pairs.join(mine, "rep").join(other, "pivot").filter(same >= AGREE).select("rep", "pivot"))
-    groups = connected_components(edges, "rep", "pivot").select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    groups = groups.join(reps.select("rep", "h1", "n"), "rep")
+    edges = pairs.join(mine, "node").join(other, "pivot").filter(same >= least_agreeing(percent)).select("node", "pivot")
+    groups = connected_components(edges, "node", "pivot").select("node", F.col("component").alias("grp"))
+    groups = groups.join(nodes.select("node", "n", "doc_id", "t", "c"), "node")
     blocks = groups.groupBy("grp").agg(F.ceil(F.sum("n") / block_shingles).cast("long").alias("blocks"))
     groups = cut(groups.join(blocks, "grp"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    cols = ["node", "grp", "doc_id", "t", "c", "label"]
 
     def dealt(seed: int) -> Column:
-        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks"))
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks"))
 
-    first = groups.select("rep", "grp", "h1", F.col("rep").alias("label"), dealt(1).alias("block"))
-    links = cut(_search(first.join(texts, "rep"), ["grp", "block"], words, percent))
+    def searched(chosen: DataFrame, keys: list[str]) -> DataFrame:
+        whole = _once(texts, chosen, ["doc_id", "t"], F.col("text")).withColumnRenamed("value", "text")
+        return _search(whole, keys, words, percent)
+
+    first = groups.withColumn("label", F.col("node")).select(*cols, dealt(1).alias("block"))
+    links = cut(searched(first, ["grp", "block"]))
     large = groups.filter("blocks > 1")
     if large.limit(1).count():
-        again = large.select("rep", "grp", "h1", F.col("rep").alias("label"), dealt(2).alias("block"))
-        links = cut(links.unionByName(_search(again.join(texts, "rep"), ["grp", "block"], words, percent)))
-        known = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-        state = cut(
-            large.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        )
+        again = large.withColumn("label", F.col("node")).select(*cols, dealt(2).alias("block"))
+        links = cut(links.unionByName(searched(again, ["grp", "block"])))
+        known = connected_components(links).select("node", F.col("component").alias("label"))
+        state = cut(large.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
         main = (
-            state.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("grp")
-            .agg(F.max(F.struct("c", "label")).alias("m")).select("grp", F.col("m.label").alias("main"))
+            state.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("grp")
+            .agg(F.max(F.struct("k", "label")).alias("m")).select("grp", F.col("m.label").alias("main"))
         )
         minor = state.join(main, "grp").filter("label <> main").drop("main")
         parts = minor.groupBy("grp").agg(F.ceil(F.sum("n") / block_shingles).cast("long").alias("parts"))
         span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        part = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))
-        cols = ["rep", "grp", "h1", "label"]
+        part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))
         few = minor.join(parts, "grp").select(*cols, part.alias("part"), span("blocks").alias("block"))
         many = state.join(parts, "grp").select(*cols, span("parts").alias("part"), dealt(1).alias("block"))
-        rest = few.unionByName(many).distinct()
-        links = cut(links.unionByName(_search(rest.join(texts, "rep"), ["grp", "part", "block"], words, percent)))
-        final = connected_components(links).select(F.col("node").alias("rep"), "component")
+        links = cut(links.unionByName(searched(few.unionByName(many).distinct(), ["grp", "part", "block"])))
+        final = connected_components(links)
     else:
-        final = links.select(F.col("src").alias("rep"), F.col("dst").alias("component"))
-    by_set = reps.join(final, "rep", "left").select(
-        "h1", "h2", "n", F.coalesce("component", "rep").alias("component")
-    )
-    out = all_rows.select("doc_id", "n", "h1", "h2").join(by_set, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", F.col("doc_id").cast("long")))
+        # Within one block a search names each component's root itself.
+        final = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    sets = nodes.select("h1", "h2", "n", "c", "node", F.col("doc_id").alias("doc"), "t").join(final, "node", "left")
+    return rows.drop("mh"), sets.withColumn("component", F.coalesce("component", "node"))
+
+
+def least_agreeing(percent: int) -> int:
+    """Of ``MINHASHES`` at least so many agree but for once in about 10^5 pairs of this similarity."""
+    p = percent / 100
+    return max(1, int(MINHASHES * p - 4.5 * (MINHASHES * p * (1 - p)) ** 0.5))
+
+
+def near_duplicates(
+    docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable over links of similarity
+    ``percent`` or more; the rows of one doc_id reach each other, whatever
+    their texts. A null or empty text has no shingles, links with nothing and
+    is its own component; so is a row without doc_id, with a null component. An
+    empty table gives no rows; other columns are ignored. Runs actions.
+
+    The tables are made for 80 %: a pair of less similarity shares one with
+    lower probability (0.57 at 40 %).
+    """
+    rows, sets = _components(docs, words, percent, block_shingles)
+    lowest = sets.groupBy("component").agg(F.min("doc").alias("low"))
+    by_set = cut(sets.join(lowest, "component").select("h1", "h2", "n", "component", "low"))
+    # Ids whose rows hold several components join these.
+    linked = rows.filter("n > 0 and doc_id is not null").select("doc_id", "h1", "h2", "n").distinct()
+    several = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
+    across = linked.join(several, "doc_id").join(by_set, ["h1", "h2", "n"]).select("doc_id", "component", "low").distinct()
+    hub = across.groupBy("doc_id").agg(F.min("component").alias("hub"))
+    ties = cut(across.join(hub, "doc_id").select("component", "hub", "low"))
+    if ties.limit(1).count():
+        joined = connected_components(ties, "component", "hub")
+        roots = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        least = by_set.select("component", "low").distinct().join(roots, "component")
+        least = least.groupBy("root").agg(F.min("low").alias("least"))
+        tied = roots.join(least, "root").select("component", "least")
+        by_set = by_set.join(tied, "component", "left").withColumn("low", F.coalesce("least", "low")).drop("least")
+    out = rows.join(by_set.select("h1", "h2", "n", "low"), ["h1", "h2", "n"], "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce(F.when(F.col("n") > 0, F.col("low")), "doc_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -260,14 +305,25 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest doc_id.
+    """``docs`` with one row of each group of near duplicates.
 
-    Rows that repeat a doc_id are copies, of which one stays; rows without a
-    doc_id stay.
+    It is the row of the smallest doc_id, then of the smallest text hash; here
+    rows are near duplicates by their texts alone, so different texts of one
+    doc_id all stay. Of rows with the same doc_id and text the least by the
+    other columns stays. Rows without a doc_id stay, and rows without words
+    stay, once per doc_id and text.
     """
-    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    options = {"words": WORDS, "percent": PERCENT, "block_shingles": BLOCK_SHINGLES} | options
+    rows, sets = _components(docs, **options)
+    best = sets.groupBy("component").agg(F.min(F.struct(F.col("doc").alias("doc_id"), "t")).alias("m"), F.sum("c").alias("c"))
+    blank = rows.filter("n = 0 and doc_id is not null").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("c"))
+    stay = best.select("m.*", "c").unionByName(blank)
+    cols = docs.columns
+    keyed = docs.filter("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    )
+    kept = _once(keyed, stay, ["doc_id", "t"], F.col("row")).select("value.*")
+    return kept.unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in cols])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

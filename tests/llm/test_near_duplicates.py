@@ -95,7 +95,21 @@ def test_text_edges(spark):
     assert out[None] == {(1, None, True)} and out[8] == out_of(1, 8) and out[9] == out_of(1, 9)
     assert minhash.near_duplicates(df.filter("false")).count() == 0
     kept = [r["doc_id"] for r in minhash.drop_near_duplicates(df, words=4).collect()]
-    assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 6, None, 8, 9], key=str)
+    assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 4, 6, None, 8, 9], key=str)
+
+
+def test_repeated_ids_lose_no_link_and_no_text(spark):
+    b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "bc")
+    rows = [(1, b), (1, c), (2, b + " x"), (3, c + " y"), (9, c), (1, b), (5, "on its own")]
+    for part in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit("clash")).repartition(part)
+        got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(df, words=4).collect()}
+        assert got == {(1, 17): 1, (2, 18): 1, (3, 18): 1, (9, 17): 1, (5, 1): 5}
+        kept = sorted((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(df, words=4).collect())
+        assert kept == sorted([(1, b), (1, c), (5, "on its own")])
+        chain = spark.createDataFrame([(4, b), (1, c), (1, b + " x"), (0, c + " y"), (7, "alone here now ok")], "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(chain, words=4).collect()}
+        assert got == {4: 0, 1: 0, 0: 0, 7: 7}
 
 
 def out_of(n, i):
