@@ -1,12 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are TF-IDF vectors over the benchmark's words, with document counts of
-the whole corpus; words outside it only lengthen a passage's vector, as if no
-document had them. A randomised SVD of the benchmark's passages, summed up in
-tasks and factorised on the driver, gives the latent space. Every window of
-every text is compared by cosine there with every passage of every item, and
-has of an item the best of its passages; what is near enough is checked by the longest common subsequence of words around the window, and by
-the item's answer (its last sentence) where less than ``SURE`` of it is there.
+Passages are TF-IDF vectors over the benchmark's words and the common words of
+a bounded sample of the corpus's passages, with document counts of the whole
+corpus; other words only lengthen a passage's vector, as if no document had
+them. A randomised SVD of the benchmark's and the sample's passages, computed
+in tasks, gives the latent space: words that the corpus uses alike lie together
+in it. Every window of every text, folded in over the singular values, is
+compared by cosine there with every passage of every item. What is near enough is checked by the longest common
+subsequence of words around the window, and by the item's answer (its last
+sentence) where less than ``SURE`` of it is there. For a paraphrase by other
+words, words of candidates by cosine also match those that lie beside them in the
+latent space.
 
 The cosine of a leak falls with the benchmark's size, as the latent space is
 fixed, and with the corpus, as words outside weigh more. So a bound without
@@ -15,7 +19,8 @@ as many of an item's words stand as the least common subsequence that passes.
 It loses nothing that comparing each item with each window would find.
 
 Items are taken in blocks of ``ITEM_BLOCK``, which bounds the model: at most
-about 35,000 words of 192 numbers. A larger benchmark costs a pass per block.
+about 50,000 words of ``DIMENSIONS`` numbers. A larger benchmark costs a pass
+per block.
 """
 
 from __future__ import annotations
@@ -28,18 +33,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import table
+from lakewright.llm.common import hex_long, spare, table
 from lakewright.plans.checkpoints import cut
 
 PASSAGE = 32
 STRIDE = 16
-DIMENSIONS = 192
+DIMENSIONS = 160
 OVERSAMPLE = 16
 POWER_ROUNDS = 3
 ITEM_BLOCK = 512
-SVD_TASKS = 4
-#: Cosine from which a window is a candidate. The least that a planted leak had was 0.30.
-COSINE = 0.22
+#: Documents (those with the smallest hashes) that give a passage each to the fit.
+FIT_DOCS = 20_000
+#: Of their words the commonest, if in so many of the passages, have a place in the latent space.
+FIT_WORDS = 16_384
+FIT_LEAST = 5
+SVD_TASKS = 8
+#: Rows of the model that are summed up together.
+SUM_ROWS = 2_048
+#: Words of texts that are searched together, and strides of a piece of them.
+BATCH_WORDS = 16_384
+PIECE = 1_024
+#: Cosine from which a window is a candidate; 7.6 deviations from that of unrelated passages (1 / sqrt(160)).
+COSINE = 0.6
+#: So many words, the nearest in the latent space, may stand for a word, from this cosine on.
+NEAREST = 5
+ALIKE = 0.25
 #: Share of an item's words that must be there in order: without and with its answer.
 SURE = 0.8
 LIKELY = 0.6
@@ -94,9 +112,13 @@ def passes(m: int, share: float, answer: float) -> bool:
 
 @dataclass
 class LatentIndex:
-    """Word vectors and the items' passage vectors of one block of items."""
+    """Word vectors and the items' passage vectors of one block of items.
+
+    Words below ``own`` are the benchmark's, the others the sample's.
+    """
 
     words: dict[bytes, int]
+    own: int
     weight: np.ndarray
     unseen: float
     vectors: np.ndarray
@@ -105,6 +127,7 @@ class LatentIndex:
     first_passage: np.ndarray
     item_ids: list[list[int]]
     answers: list[int]
+    alike: dict[int, list[int]]
 
     def __post_init__(self):
         """Which items hold a word and how often, the items' words, and how many of them must be there."""
@@ -115,7 +138,30 @@ class LatentIndex:
         by = np.argsort(word, kind="stable")
         self.holder = np.repeat(np.arange(len(own)), [len(w) for w in self.item_words])[by].astype(np.int32)
         self.times = np.concatenate([np.zeros(0, np.int64), *self.item_counts])[by].astype(np.int32)
-        self.first = np.searchsorted(word[by], np.arange(len(self.words) + 1))
+        self.first = np.searchsorted(word[by], np.arange(self.own + 1))
+        self.item_of = np.repeat(np.arange(len(own)), [len(_passages(x)) for x in self.item_ids])
+
+        self.known_masks: dict[tuple[int, bool], tuple[dict[int, int], dict[int, int]]] = {}
+
+    def masks(self, k: int, reworded: bool = False) -> tuple[dict[int, int], dict[int, int]]:
+        """Masks of an item's words and of its answer's; reworded, with the words that are alike."""
+        if (k, reworded) not in self.known_masks:
+            item = self.item_ids[k]
+            both = masks_of(item), masks_of(item[len(item) - self.answers[k] :])
+            if reworded:
+                both = tuple({y: 0 for x in m for y in (x, *self.alike.get(x, ()))} for m in both)
+                for m, own in zip(both, (item, item[len(item) - self.answers[k] :]), strict=True):
+                    for i, x in enumerate(own):
+                        for y in (x, *self.alike.get(x, ())):
+                            m[y] |= 1 << i
+            self.known_masks[k, reworded] = both
+        return self.known_masks[k, reworded]
+
+    def shares(self, k: int, region: list[int], reworded: bool = False) -> tuple[float, float]:
+        """Shares of an item and of its answer that stand in order in ``region``."""
+        item, answer = self.masks(k, reworded)
+        m, n = len(self.item_ids[k]), self.answers[k]
+        return common_subsequence(item, m, region) / m, common_subsequence(answer, n, region) / n
 
     def ids(self, text: str | None) -> np.ndarray:
         get = self.words.get
@@ -126,39 +172,66 @@ class LatentIndex:
         # Runs of one benchmark word count once; words outside are all -1 and stay.
         return x[np.append(True, (x[1:] != x[:-1]) | (x[1:] < 0))]
 
-    def cosines(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows that can reach COSINE, and their cosines with all items, the best of their passages.
+    def candidates(self, xs: list[np.ndarray], least: float | None = None) -> tuple[np.ndarray, ...]:
+        """(text, start, item, cosine) of all windows and passages with a cosine of ``least`` (COSINE) or more.
 
-        A window's cosine with anything is at most its latent length over its
-        whole length, which few windows of a text that leaks nothing reach.
+        Texts are laid out in whole strides with an empty one behind each, and
+        gone through in pieces of bounded size.
         """
-        half = np.arange(0, len(x), STRIDE)
-        square = np.where(x < 0, self.unseen, self.weight[x]).astype(np.float64) ** 2
-        known = np.flatnonzero(x >= 0)
-        if not len(known):
-            return half[:0], np.zeros((0, len(self.items)), np.float32)
-        cell, first = np.unique(known // STRIDE, return_index=True)
-        part = np.zeros((len(half) + 1, self.vectors.shape[1]), np.float32)
-        part[cell] = np.add.reduceat(self.vectors[x[known]], first)
-        both = part[:-1] + part[1:]
-        long = np.add.reduceat(square, half)
-        long = long + np.append(long[1:], 0)
-        at = np.flatnonzero(np.einsum("ij,ij->i", both, both) >= 0.999 * COSINE**2 * long)
-        cos = (both[at] / np.sqrt(long[at] + 1e-9)[:, None].astype(np.float32)) @ self.passage_vectors.T
-        return half[at], np.maximum.reduceat(cos, self.first_passage, axis=1)
-
-    def counted(self, x: np.ndarray):
-        """(item, places of its words, starts of windows) where enough of its words are around to pass."""
-        known = np.flatnonzero(x >= 0)
-        if not len(known):
+        least = COSINE if least is None else least
+        strides = np.array([-(-len(x) // STRIDE) for x in xs], np.int64)
+        begin = np.cumsum(strides + 1) - strides - 1
+        total = int((strides + 1).sum())
+        laid = np.full(total * STRIDE, -1, np.int32)
+        for x, at in zip(xs, begin, strict=True):
+            laid[at * STRIDE : at * STRIDE + len(x)] = x
+        owner = np.repeat(np.arange(len(xs)), strides + 1)
+        inside = np.ones(total, bool)
+        inside[begin + strides] = False
+        out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.float32),)]
+        for lo in range(0, total if self.items else 0, PIECE):
+            hi = min(lo + PIECE, total)
+            piece = laid[lo * STRIDE : (hi + 1) * STRIDE]
+            known = np.flatnonzero(piece >= 0)
+            if not len(known):
+                continue
+            cell = known // STRIDE
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            part = np.zeros((hi - lo + 1, self.vectors.shape[1]), np.float32)
+            part[cell[first]] = np.add.reduceat(self.vectors[piece[known]], first)
+            both = part[:-1] + part[1:]
+            long = np.sqrt(np.einsum("ij,ij->i", both, both))
+            at = np.flatnonzero((long > 1e-6) & inside[lo:hi])
+            if not len(at):
+                continue
+            product = both[at] @ self.passage_vectors.T
+            w, p = np.nonzero(product >= least * long[at, None])
+            text = owner[lo + at[w]]
+            out.append((text, (lo + at[w] - begin[text]) * STRIDE, self.item_of[p], product[w, p] / long[at[w]]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def enough(self, xs: list[np.ndarray]) -> list[np.ndarray]:
+        """Per text the items of whose words it holds enough to pass."""
+        n = len(self.items)
+        text = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+        word = np.concatenate([np.zeros(0, np.int32), *xs]).astype(np.int64)
+        known = (word >= 0) & (word < self.own)
+        u = np.unique(text[known] * self.own + word[known])
+        text, word = u // max(self.own, 1), u % max(self.own, 1)
+        times = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        there = np.bincount(np.repeat(text, times) * n + self.holder[at], self.times[at], minlength=len(xs) * n)
+        good = there.reshape(len(xs), n) >= self.least
+        return [np.flatnonzero(g) for g in good]
+
+    def counted(self, x: np.ndarray, items):
+        """(item, places of its words, starts of windows) where enough of an item's words are around to pass."""
+        if not len(items):
             return
+        known = np.flatnonzero((x >= 0) & (x < self.own))
         own = x[known]
-        u = np.unique(own)
-        n = self.first[u + 1] - self.first[u]
-        at = np.repeat(self.first[u] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        there = np.bincount(self.holder[at], self.times[at], minlength=len(self.items))
         windows = np.arange(0, len(x), STRIDE)
-        for k in np.flatnonzero(there >= self.least):
+        for k in items:
             m = len(self.item_ids[k])
             words = self.item_words[k]
             place = np.searchsorted(words, own)
@@ -180,55 +253,59 @@ class LatentIndex:
     def cosine(self, x: np.ndarray, start: int, k: int) -> float:
         """Cosine of one window with the best passage of one item."""
         w = x[start : start + PASSAGE]
-        square = (np.where(w < 0, self.unseen, self.weight[w]).astype(np.float64) ** 2).sum()
+        z = self.vectors[w[w >= 0]].sum(0)
         own = self.passage_vectors[self.first_passage[k] :][: len(_passages(self.item_ids[k]))]
-        return float((own @ self.vectors[w[w >= 0]].sum(0)).max() / np.sqrt(square + 1e-9))
+        return float((own @ z).max() / max(float(np.sqrt(z @ z)), 1e-9))
 
-    def hits(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item_id, cosine, share of the item, share of its answer) of the leaks."""
-        x = self.ids(text)
-        if not len(x):
-            return []
-        starts, cos = self.cosines(x)
-        best: dict[int, tuple[float, float, float]] = {}
-        for w, k in zip(*np.nonzero(cos >= COSINE), strict=True):
-            item = self.item_ids[k]
-            m = len(item)
-            seen = best.get(k)
+    def near(self, xs: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
+        """Per text item -> cosine, share, answer of the leaks among the candidates by cosine."""
+        best: list[dict[int, tuple[float, float, float]]] = [{} for _ in xs]
+        for t, start, k, cosine in zip(*(c.tolist() for c in self.candidates(xs)), strict=True):
+            m = len(self.item_ids[k])
+            seen = best[t].get(k)
             if seen and seen[1] >= 1.0:
                 continue
-            lo = max(0, int(starts[w]) - m)
-            region = x[lo : int(starts[w]) + PASSAGE + m].tolist()
-            share = common_subsequence(masks_of(item), m, region) / m
-            tail = item[m - self.answers[k] :]
-            answer = common_subsequence(masks_of(tail), len(tail), region) / len(tail)
-            if not seen or (share, answer) > seen[1:]:
-                best[k] = (float(cos[w, k]), share, answer)
-        leaked = {k: v for k, v in best.items() if passes(len(self.item_ids[k]), *v[1:])}
-        for k, pos, windows in self.counted(x):
-            if k in leaked:
-                continue
-            item = self.item_ids[k]
-            m = len(item)
-            masks, tail = masks_of(item), masks_of(item[m - self.answers[k] :])
-            found, last = None, None
-            for start in windows.tolist():
-                # Only the item's words matter to a subsequence; windows with the same ones are alike.
-                span = np.searchsorted(pos, (start - m, start + PASSAGE + m)).tolist()
-                if span == last:
-                    continue
-                last = span
-                region = x[pos[span[0] : span[1]]].tolist()
-                common = common_subsequence(masks, m, region)
-                if common < self.least[k]:
-                    continue
-                share = common / m
-                answer = common_subsequence(tail, self.answers[k], region) / self.answers[k]
-                if passes(m, share, answer) and (not found or (share, answer) > found[1:]):
-                    found = (start, share, answer)
-            if found:
-                leaked[k] = (self.cosine(x, found[0], k), *found[1:])
-        return [(self.items[k], *v) for k, v in sorted(leaked.items())]
+            region = xs[t][max(0, start - m) : start + PASSAGE + m].tolist()
+            share, answer = self.shares(k, region)
+            if not passes(m, share, answer) and m >= 2 * SHORT:
+                # By other words: the same rule, where words that are alike count.
+                share, answer = self.shares(k, region, reworded=True)
+            if passes(m, share, answer) and (not seen or (share, answer) > seen[1:]):
+                best[t][k] = (cosine, share, answer)
+        return best
+
+    def search(self, texts) -> list[list[tuple[int, float, float, float]]]:
+        """Per text (item_id, cosine, share of the item, share of its answer) of the leaks."""
+        out: list[list[tuple[int, float, float, float]]] = []
+        held: list[np.ndarray] = []
+        for text in texts:
+            held.append(self.ids(text))
+            if sum(map(len, held)) >= BATCH_WORDS:
+                out += self._search(held)
+                held = []
+        return out + self._search(held) if held else out
+
+    def hits(self, text: str | None) -> list[tuple[int, float, float, float]]:
+        return self.search([text])[0]
+
+    def _search(self, xs: list[np.ndarray]) -> list[list[tuple[int, float, float, float]]]:
+        leaks = self.near(xs)
+        for x, leaked, items in zip(xs, leaks, self.enough(xs), strict=True):
+            for k, pos, windows in self.counted(x, [k for k in items.tolist() if k not in leaked]):
+                m = len(self.item_ids[k])
+                found, last = None, None
+                for start in windows.tolist():
+                    # Only the item's words matter to a subsequence; windows with the same ones are alike.
+                    span = np.searchsorted(pos, (start - m, start + PASSAGE + m)).tolist()
+                    if span == last:
+                        continue
+                    last = span
+                    share, answer = self.shares(k, x[pos[span[0] : span[1]]].tolist())
+                    if passes(m, share, answer) and (not found or (share, answer) > found[1:]):
+                        found = (start, share, answer)
+                if found:
+                    leaked[k] = (self.cosine(x, found[0], k), *found[1:])
+        return [[(self.items[k], *v) for k, v in sorted(x.items())] for x in leaks]
 
 
 def _passages(ids: list[int]) -> list[list[int]]:
@@ -268,54 +345,141 @@ def _document_counts(docs: DataFrame, words: dict[bytes, int]) -> tuple[np.ndarr
     return df, rows
 
 
-def _product(passages: DataFrame, weight: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """A^T (A basis), or (A basis)^T (A basis), summed over tasks."""
+def _sample(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    """(words array<binary>): one passage of each of ``FIT_DOCS`` documents, from a place its hash chooses."""
+    order = hex_long(F.concat(F.lit("latent"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    ids = docs.filter("doc_id is not null").select("doc_id", order.alias("place")).distinct().orderBy("place", "doc_id").limit(FIT_DOCS)
+
+    def passage(batches):
+        for pdf in batches:
+            rows = []
+            for text, place in zip(pdf["text"], pdf["place"], strict=True):
+                w = tokens(text)
+                at = place % max(1, len(w) - PASSAGE + 1)
+                rows.append(w[at : at + PASSAGE])
+            yield pd.DataFrame({"words": rows})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "place")
+    return cut(rows.mapInPandas(passage, "words array<binary>").repartition(SVD_TASKS))
+
+
+def _product(passages: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A^T (A basis), with the passages' unit TF-IDF vectors as A; summed in the cluster, block by block."""
+    spark = passages.sparkSession
+    sent = spark.sparkContext.broadcast((weight, basis))
 
     def part(batches):
-        out = np.zeros((basis.shape[1] if gram else basis.shape[0], basis.shape[1]))
+        weight, basis = sent.value
+        out = np.zeros(basis.shape, np.float32)
         for pdf in batches:
-            for ids in pdf["ids"]:
-                x = np.asarray(ids, np.int64)
+            for at in range(0, len(pdf), 1024):
+                ids = [np.asarray(v, np.int64) for v in pdf["ids"][at : at + 1024] if len(v)]
+                if not ids:
+                    continue
+                x, n = np.concatenate(ids), np.array([len(v) for v in ids])
+                first = np.cumsum(n) - n
                 w = weight[x]
-                norm = np.sqrt((w * w).sum())
-                if norm > 0:
-                    w = w / norm
-                    y = w @ basis[x]
-                    if gram:
-                        out += np.outer(y, y)
-                    else:
-                        np.add.at(out, x, w[:, None] * y)
-        yield pd.DataFrame({"sum": [out.astype(np.float64).tobytes()]})
-
-    shape = (basis.shape[1] if gram else basis.shape[0], basis.shape[1])
-    parts = passages.mapInPandas(part, "sum binary").collect()
-    return sum((np.frombuffer(p["sum"]).reshape(shape) for p in parts), np.zeros(shape))
-
-
-def fit(docs: DataFrame, items: list[tuple[int, str]]) -> LatentIndex:
-    """The latent index of a block of (item_id, text), with document counts of ``docs``."""
+                w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)), n)
+                y = np.add.reduceat(w[:, None] * basis[x], first)
+                z = w[:, None] * np.repeat(y, n, axis=0)
+                order = np.argsort(x, kind="stable")
+                own, start = np.unique(x[order], return_index=True)
+                out[own] += np.add.reduceat(z[order], start)
+        for b, at in enumerate(range(0, len(out), SUM_ROWS)):
+            yield pd.DataFrame({"block": [b], "sum": [out[at : at + SUM_ROWS].tobytes()]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in sorted(pdf["sum"]))
+        return pd.DataFrame({"block": pdf["block"][:1], "sum": [s.astype(np.float32).tobytes()]})
+
+    schema = "block int, sum binary"
+    rows = passages.mapInPandas(part, schema).groupBy("block").applyInPandas(total, schema).collect()
+    sent.destroy()
+    out = np.zeros(basis.shape, np.float32)
+    for r in rows:
+        own = np.frombuffer(r["sum"], np.float32).reshape(-1, basis.shape[1])
+        out[r["block"] * SUM_ROWS :][: len(own)] = own
+    return out
+
+
+def _orthonormal(m: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of the span of ``m``, by its small Gram matrix; twice, for rounding."""
+    for _ in range(2):
+        value, turn = np.linalg.eigh((m.T @ m).astype(np.float64))
+        good = value > 1e-7 * max(value.max(), 1e-30)
+        m = m @ (turn[:, good] / np.sqrt(value[good])).astype(np.float32)
+    return m
+
+
+def _alike(vectors: np.ndarray, own: int, often: np.ndarray) -> dict[int, list[int]]:
+    """For each benchmark word the nearest others that may stand for it; rare ones have no place of their own."""
+    size = np.sqrt((vectors * vectors).sum(1))
+    ok = np.flatnonzero((often >= FIT_LEAST) & (size > 1e-6))
+    u = vectors[ok] / size[ok, None]
+    out: dict[int, list[int]] = {}
+    mine = np.flatnonzero(ok < own)
+    for at in range(0, len(mine), 512):
+        rows = mine[at : at + 512]
+        cos = u[rows] @ u.T
+        cos[np.arange(len(rows)), rows] = -1
+        for i, j in zip(*np.nonzero(cos >= np.maximum(np.sort(cos, axis=1)[:, -NEAREST:][:, :1], ALIKE)), strict=True):
+            out.setdefault(int(ok[rows[i]]), []).append(int(ok[j]))
+    return out
+
+
+def fit(docs: DataFrame, items: list[tuple[int, str]], sample: DataFrame | None = None) -> LatentIndex:
+    """The latent index of a block of (item_id, text), with document counts of ``docs``.
+
+    ``sample``: passages of the corpus as ``_sample`` gives them; made from
+    ``docs`` (doc_id, text) where not given. Runs actions.
+    """
     spark = docs.sparkSession
     items = sorted((i, t) for i, t in items if t and tokens(t))
     words: dict[bytes, int] = {}
     ids = [[words.setdefault(w, len(words)) for w in tokens(t)] for _, t in items]
+    own = len(words)
+    if not items:
+        zero = np.zeros((0, 1), np.float32)
+        return LatentIndex({}, 0, np.zeros(1), 1.0, np.zeros((1, 1), np.float32), [], zero, np.zeros(0, np.int64), [], [], {})
+    sample = _sample(docs, words) if sample is None else sample
+    n_words = F.count(F.lit(1))
+    common = (
+        sample.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(n_words.alias("n"))
+        .filter(f"n >= {FIT_LEAST}").orderBy(F.desc("n"), "w").limit(FIT_WORDS + own).collect()
+    )
+    seen: dict[int, int] = {}
+    for r in common:
+        w = bytes(r["w"])
+        if w in words or len(words) < own + FIT_WORDS:
+            seen[words.setdefault(w, len(words))] = r["n"]
+    often = np.array([seen.get(i, 0) for i in range(len(words))])
     df, n = _document_counts(docs, words)
-    weight = np.log((n + 1) / (df + 1)) + 1e-6
+    weight = (np.log((n + 1) / (df + 1)) + 1e-6).astype(np.float32)
     unseen = float(np.log(n + 1) + 1e-6)
+    sent = spark.sparkContext.broadcast(words)
+
+    def numbered(batches):
+        get = sent.value.get
+        for pdf in batches:
+            yield pd.DataFrame({"ids": [[i for i in (get(bytes(w), -1) for w in p) if i >= 0] for p in pdf["words"]]})
+
     rows = [(p,) for x in ids for p in _passages(x)]
-    size = max(1, min(DIMENSIONS + OVERSAMPLE, len(rows), len(words)))
-    if not rows:
-        zero = np.zeros((0, 1), np.float32)
-        return LatentIndex({}, np.zeros(1), unseen, np.zeros((1, 1), np.float32), [], zero, np.zeros(0, np.int64), [], [])
-    passages = spark.createDataFrame(rows, "ids array<int>").repartition(SVD_TASKS)
-    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(words), size)))[0]
+    bench = spark.createDataFrame(rows, "ids array<int>")
+    passages = cut(sample.mapInPandas(numbered, "ids array<int>").unionByName(bench).repartition(SVD_TASKS))
+    sent.destroy()
+    size = max(1, min(DIMENSIONS + OVERSAMPLE, len(words)))
+    basis = _orthonormal(np.random.default_rng(7).standard_normal((len(words), size), np.float32))
     for _ in range(POWER_ROUNDS):
-        basis = np.linalg.qr(_product(passages, weight, basis, gram=False))[0]
-    _, rotation = np.linalg.eigh(_product(passages, weight, basis, gram=True))
-    latent = (basis @ rotation[:, ::-1])[:, : min(DIMENSIONS, size)]
-    vectors = (latent * weight[:, None]).astype(np.float32)
-    own, first = passage_vectors(vectors, ids)
+        basis = _orthonormal(_product(passages, weight, basis))
+    value, turn = np.linalg.eigh((basis.T @ _product(passages, weight, basis)).astype(np.float64))
+    best = [k for k in np.argsort(-value)[:DIMENSIONS] if value[k] > 1e-6 * value.max()]
+    latent = basis @ turn[:, best].astype(np.float32)
+    # Folded in as queries are, over the singular values: else a few directions (languages) decide.
+    vectors = (latent * weight[:, None] / np.sqrt(value[best])).astype(np.float32)
+    own_vectors, first = passage_vectors(vectors, ids)
     return LatentIndex(
-        words, weight, unseen, vectors, [i for i, _ in items], own, first, ids, [answer_words(t) for _, t in items]
+        words, own, weight, unseen, vectors, [i for i, _ in items], own_vectors, first, ids,
+        [answer_words(t) for _, t in items], _alike(latent * np.sqrt(np.sqrt(value[best])).astype(np.float32), own, often),
     )
 
 
@@ -333,7 +497,8 @@ def _blocks(benchmark: DataFrame):
 def _hits(index: LatentIndex, text: str) -> Column:
     @F.pandas_udf("array<struct<item_id:bigint,cosine:double,share:double,answer:double>>")
     def found(s: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("item_id", "cosine", "share", "answer"), h, strict=True)) for h in index.hits(t)] for t in s])
+        names = ("item_id", "cosine", "share", "answer")
+        return pd.Series([[dict(zip(names, h, strict=True)) for h in hits] for hits in index.search(s)])
 
     return found(text)
 
@@ -359,8 +524,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that leak an item; see ``leaks``."""
+    leaks_, corpus = spare(docs, "leaks"), docs
     for items in _blocks(benchmark):
-        docs = docs.withColumn("_leaks", _hits(fit(docs, items), "text")).filter("size(_leaks) = 0").drop("_leaks")
+        docs = docs.withColumn(leaks_, _hits(fit(corpus, items), "text")).filter(F.size(leaks_) == 0).drop(leaks_)
     return docs
 
 

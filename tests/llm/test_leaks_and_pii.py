@@ -99,10 +99,62 @@ def test_a_long_item_is_near_its_own_words(spark):
     docs = [(0, " ".join(words[:1_000])), *((i, " ".join(words[1_000:])) for i in range(1, 40))]
     index = D.fit(spark.createDataFrame(docs, DOCS), [(7, docs[0][1]), (8, "one two three four five six seven")])
     text = " ".join(words[1_000:] + words[:1_000] + words[1_000:])
-    assert index.cosines(index.ids(text))[1][:, 0].max() > 0.6
+    _, _, item, cosine = index.candidates([index.ids(text)], least=-1.0)
+    assert cosine[item == 0].max() > 0.6
     assert [(h[0], h[2]) for h in index.hits(text)] == [(7, 1.0)]
 
 
+def reworded_corpus(seed=2):
+    """Phrases of concepts, each concept written by either of two words."""
+    r = random.Random(seed)
+    phrases = [r.sample(range(500), 8) for _ in range(400)]
+    said = lambda c: f"{'ab'[r.random() < 0.5]}{c}x"
+    docs = [(d, " ".join(said(c) for _ in range(5) for c in r.choice(phrases))) for d in range(4_000)]
+    bench = [(i, " ".join(f"a{c}x" for k in r.sample(range(400), 4) for c in phrases[k])) for i in range(10)]
+    other = lambda i, w: w.replace("a", "b") if i % 5 in (0, 2, 3) else w
+    leaks = [(9000 + i, " ".join(other(*w) for w in enumerate(text.split()))) for i, text in bench]
+    return docs, bench, leaks
+
+
+def test_paraphrases_by_other_words_are_found(spark):
+    docs, bench, leaks = reworded_corpus()
+    for (_, item), (_, text) in zip(bench, leaks):
+        assert lcs(item.split(), text.split()) / len(item.split()) < D.LIKELY
+    df = spark.createDataFrame(docs + leaks, DOCS)
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(got & {(9000 + i, i) for i in range(10)}) >= 9
+    assert not {d for d, _ in got if d < 9000}
+
+
+def test_query_finds_what_comparing_all_pairs_finds(spark, sf_dir):
+    """The registered query, and its candidates by cosine alone, against every item at every place of every text."""
+    from lakewright.llm.common import table
+
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    want = set()
+    for d, text in texts:
+        words = D.tokens(text)
+        for i, item in items.items():
+            own = D.tokens(item)
+            if len(set(own) & set(words)) < D.least_words(len(own)) / max(own.count(w) for w in own):
+                continue
+            m, n = len(own), D.answer_words(item)
+            for s in range(0, len(words), D.STRIDE):
+                region = words[max(0, s - m) : s + D.PASSAGE + m]
+                common = lambda part: D.common_subsequence(D.masks_of(part), len(part), region)  # noqa: B023, E731
+                if D.passes(m, common(own) / m, common(own[m - n :]) / n):
+                    want.add((d, i))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in D.query(spark, sf_dir).collect()}
+    assert want and got == want
+    index = D.fit(docs, list(items.items()))
+    found = index.near([index.ids(t) for _, t in texts])
+    near = {(d, index.items[k]) for (d, _), hits in zip(texts, found) for k in hits}
+    assert len(near & want) >= 0.9 * len(want)
+
+
 def test_leak_edges(spark, monkeypatch):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "tiny"), (None, "null id words here"), (1, "zulu yankee")]
     texts = [(1, None), (2, ""), (3, "x " * 50_000 + items[0][1]), (4, "alpha " * 1000), (None, items[0][1]), (6, "a tiny thing"), (7, items[0][1]), (7, items[0][1])]
@@ -254,10 +306,10 @@ def test_check_digits_stay_right_or_wrong(spark):
 
 
 def test_pii_columns_that_clash(spark):
-    df = spark.createDataFrame([(1, "ip 1.2.3.4", 5, 6, 7, 8)], "doc_id long, text string, _n int, _k int, _found int, n_entities int")
+    df = spark.createDataFrame([(1, "ip 1.2.3.4", 5, 6, 7, 8, 9)], "doc_id long, text string, _n int, _k int, _found int, n_entities int, _leaks int")
     row = pii.replace_pii(df).first()
     assert (row["_n"], row["_k"], row["_found"], row["n_entities"]) == (5, 6, 7, 1)
-    assert D.decontaminate(df.withColumn("_leaks", F.lit(9)), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).first()["_leaks"] == 9
+    assert D.decontaminate(df, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).first()["_leaks"] == 9
 
 
 def test_pii_edges(spark):
