@@ -1,9 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic
-text, and every window of a few words is compressed with either. What the
-toxic dictionary saves, over all windows of a text, is turned into a
-probability by a logistic model fitted on labelled rows.
+There are two zstandard dictionaries, one of ordinary text and one with toxic
+text as well, and every window of a few words is compressed with either. What
+the toxic dictionary saves, over all windows of a text, is turned into a
+probability by a logistic model. Zstandard's own trainer isn't used for them,
+as it found no dictionaries that tell the classes apart (see README). The
+logistic model is fitted fold by fold on what dictionaries of the other folds'
+labelled rows save, so no row calibrates a dictionary that it chose.
 
 Toxic text is ordinary text with something added, so the toxic dictionary is
 the ordinary one plus the word beginnings that mark toxic rows (signed
@@ -49,6 +52,8 @@ THRESHOLD = 0.3
 COPY_WORDS = 3
 COPY_PERCENT = 40
 FEATURES = 10
+#: Parts of the labelled rows; each is measured with dictionaries of the others.
+FOLDS = 5
 
 
 def words_of(text: str | None) -> list[str]:
@@ -105,7 +110,7 @@ class ToxicityModel:
             top = np.sort(saved)[::-1][:3]
             two, three, four = ((saved >= k).sum() for k in (2, 3, 4))
             out[row] = (
-                min(top[0], 8),
+                top[0],
                 top.mean(),
                 two / n,
                 three / n,
@@ -140,21 +145,21 @@ class ToxicityModel:
 
 
 def _grams(batches):
-    """(gram, toxic, docs): documents per word beginning; whole words have toxic -1."""
+    """(gram, kind, docs): documents per word beginning; kind is 2 * fold + toxic, and -1 for whole words."""
     for pdf in batches:
         counts: dict[tuple[str, int], int] = {}
-        for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+        for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
             seen = set()
             for w in set(words_of(text)):
                 padded = f" {w} "
-                seen.update((padded[:j], toxic) for j in GRAM_LENGTHS if len(padded) >= j)
+                seen.update((padded[:j], 2 * fold + toxic) for j in GRAM_LENGTHS if len(padded) >= j)
                 if not toxic:
                     seen.add((w, -1))
             for k in seen:
                 counts[k] = counts.get(k, 0) + 1
         yield pd.DataFrame(
-            {"gram": [g for g, _ in counts], "toxic": [t for _, t in counts], "docs": list(counts.values())}
-        ).astype({"gram": "object", "toxic": "int32", "docs": "int64"})
+            {"gram": [g for g, _ in counts], "kind": [t for _, t in counts], "docs": list(counts.values())}
+        ).astype({"gram": "object", "kind": "int32", "docs": "int64"})
 
 
 def _marking(grams: list[tuple[str, float]]) -> list[str]:
@@ -182,48 +187,54 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
         .orderBy(hex_long(F.concat(F.lit("tox"), F.col("doc_id").cast("string"))), "doc_id")
         .limit(max_train)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["text", "toxic"])
-    rows = cut(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = cut(rows.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")))
     # Near copies of one toxic text would make all of its words look toxic: one of each group counts.
     groups = near_duplicates(rows.filter("toxic = 1"), words=COPY_WORDS, percent=COPY_PERCENT).filter("kept")
-    once = cut(
-        rows.filter("toxic = 1").join(groups.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        .unionByName(rows.filter("toxic = 0"))
-        .select("text", "toxic")
-    )
-    totals = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    first = rows.filter("toxic = 1").join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = first.groupBy("doc_id").agg(F.min("text").alias("text")).select("text", F.lit(1).alias("toxic"))
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    once = cut(first.unionByName(rows.filter("toxic = 0").select("text", "toxic")).select("text", "toxic", fold))
+    totals = {(r["fold"], r["toxic"]): r["count"] for r in once.groupBy("fold", "toxic").count().collect()}
+    docs_of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("docs")).otherwise(0))
     counts = cut(
-        once.mapInPandas(_grams, "gram string, toxic int, docs long")
+        once.mapInPandas(_grams, "gram string, kind int, docs long")
         .groupBy("gram")
-        .agg(
-            F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("k1"),
-            F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("k0"),
-            F.sum(F.when(F.col("toxic") == -1, F.col("docs")).otherwise(0)).alias("kw"),
-        )
-        .filter(f"k1 >= {MIN_DOCS} or kw >= {MIN_DOCS}")
+        .agg(docs_of(-1).alias("kw"), *[docs_of(2 * f + t).alias(f"k{t}_{f}") for f in range(FOLDS) for t in (0, 1)])
+        .filter(f"{' + '.join(f'k1_{f}' for f in range(FOLDS))} >= {MIN_DOCS} or kw >= {MIN_DOCS}")
     )
-    k, n = F.col("k1") + F.col("k0"), n0 + n1
-    if n0 and n1:
+
+    def toxic(folds: list[int]) -> bytes:
+        """The toxic dictionary that these folds of the rows make."""
+        n0, n1 = (sum(totals.get((f, t), 0) for f in folds) for t in (0, 1))
+        if not n0 or not n1:
+            return b""
+        k0, k1 = (sum((F.col(f"k{t}_{f}") for f in folds), F.lit(0)) for t in (0, 1))
+        k, n, share = k0 + k1, n0 + n1, len(folds) / FOLDS
         part = lambda a, m: F.when(a > 0, a * F.log(a * n / (k * m))).otherwise(0.0)
-        odds = F.log((F.col("k1") + 0.5) / (n1 + 1)) - F.log((F.col("k0") + 0.5) / (n0 + 1))
+        odds = F.log((k1 + 0.5) / (n1 + 1)) - F.log((k0 + 0.5) / (n0 + 1))
         marked = (
-            counts.filter(f"k1 >= {MIN_DOCS}")
-            .select("gram", odds.alias("odds"), (2 * (part(F.col("k1"), n1) + part(F.col("k0"), n0))).alias("g"))
-            .filter(f"odds > {MIN_LOG_ODDS} and g > {MIN_G}")
+            counts.select("gram", k1.alias("k1"), odds.alias("odds"), (2 * (part(k1, n1) + part(k0, n0))).alias("g"))
+            .filter((F.col("k1") >= MIN_DOCS * share) & (F.col("odds") > MIN_LOG_ODDS) & (F.col("g") > MIN_G * share))
             .orderBy(F.desc("g"), "gram")
             .limit(20 * MAX_GRAMS)
         )
-        toxic = _marking([(r["gram"], r["g"]) for r in marked.collect()])
-    else:
-        toxic = []
+        return "".join(reversed(_marking([(r["gram"], r["g"]) for r in marked.collect()]))).encode()
+
     common = counts.filter("kw > 0").orderBy(F.desc("kw"), "gram").limit(ORDINARY_WORDS).collect()
-    ordinary = (" " + " ".join(r["gram"] for r in reversed(common)) + " ").encode()[-ORDINARY_BYTES:]
-    model = ToxicityModel(ordinary, "".join(reversed(toxic)).encode())
+    ordinary, size = [], 0
+    for r in common:
+        size += len(r["gram"].encode()) + 1
+        if size < ORDINARY_BYTES:
+            ordinary.append(r["gram"])
+    ordinary = (" " + " ".join(reversed(ordinary)) + " ").encode()
+    model = ToxicityModel(ordinary, toxic(list(range(FOLDS))))
+    others = [ToxicityModel(ordinary, toxic([x for x in range(FOLDS) if x != f])) for f in range(FOLDS)]
 
     def measure(batches):
         for pdf in batches:
-            yield pd.DataFrame({"x": model.features(pdf["text"]).tolist(), "toxic": pdf["toxic"]})
+            for fold, own in pdf.groupby("fold"):
+                yield pd.DataFrame({"x": others[fold].features(own["text"]).tolist(), "toxic": own["toxic"]})
 
     seen = once.mapInPandas(measure, "x array<double>, toxic int").collect()
     if seen:
