@@ -26,8 +26,8 @@ CALIBRATE_EVERY = 5
 DISCOUNT = 0.75
 #: So many ids of documents to learn from are broadcast (24 bytes each); more are joined.
 BROADCAST_IDS = 100_000
-#: A chosen language below this posterior is marked as rejected.
-REJECT = 0.5
+#: A text is rejected whose cross-entropy lies so many deviations above what its language has.
+REJECT = 6.0
 UNKNOWN = "und"
 _ALPHA = np.array([chr(c).isalpha() for c in range(0x10000)])
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +67,8 @@ class LanguageModel:
     backoff: list[np.ndarray]
     floor: np.ndarray
     temperature: float = 1.0
+    #: Per language the mean cross-entropy, and its variance: one part for all texts, one that falls with length.
+    usual: np.ndarray | None = None
 
     @staticmethod
     def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +97,16 @@ class LanguageModel:
             total += self.logp[0][at[ok]].sum(0) + (~ok).sum() * self.floor
         return -total / (len(c) - 2)
 
-    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, posterior, cross-entropy; ties go to the first language."""
-        names, scores, best = [], np.zeros(len(texts)), np.zeros(len(texts))
+    def excess(self, k: int, h: float, n: int) -> float:
+        """Deviations by which a text of n characters lies above the cross-entropy of language k."""
+        if self.usual is None or np.isnan(self.usual[k, 0]):
+            return 0.0
+        mean, all_, short = self.usual[k]
+        return float((h - mean) / np.sqrt(all_ + short / n + 1e-6))
+
+    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, posterior, cross-entropy, excess; ties go to the first language."""
+        names, scores, best, over = [], np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
         for i, text in enumerate(texts):
             c, any_letter = codes_of(text)
             if not any_letter or not self.languages:
@@ -106,9 +115,10 @@ class LanguageModel:
             h = self.entropies(c)
             k = int(np.argmin(h))
             names.append(self.languages[k])
-            scores[i] = 1 / np.exp(-(h - h[k]) * self.temperature * np.sqrt(min(len(c), 400))).sum()
+            scores[i] = 1 / np.exp(-(h - h[k]) * self.temperature * np.sqrt(len(c))).sum()
             best[i] = h[k]
-        return names, np.clip(scores, 0.0, 1.0), best
+            over[i] = self.excess(k, h[k], len(c))
+        return names, np.clip(scores, 0.0, 1.0), best, over
 
 
 def fit(counts: dict[str, dict[str, int]], discount: float = DISCOUNT) -> LanguageModel:
@@ -176,12 +186,28 @@ def _trigrams(batches):
         )
 
 
+def _usual(k: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Mean cross-entropy of each language's texts, and variance as a + b / length; nan where there are none."""
+    out = np.full((h.shape[1], 3), np.nan)
+    for lang in range(h.shape[1]):
+        own, size = h[k == lang, lang], n[k == lang].astype(float)
+        if len(own):
+            mean = np.average(own, weights=size)
+            square = (own - mean) ** 2
+            long = size >= np.median(size)
+            a = square[long].mean()
+            out[lang] = mean, a, max(0.0, float(((square - a) * size).mean()))
+    return out
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang) with a lang, held-out rows left out.
 
     At most ``train_docs`` documents per language are used, those with the
     smallest hashes; what reaches the driver are their distinct trigrams. Each
-    fifth of them fits the temperature of the posteriors instead.
+    fifth of them fits the temperature of the posteriors and the usual
+    cross-entropies instead. Rows that repeat a document count again; without
+    any row every text is ``und``.
     """
     order = hex_long(F.concat(F.lit("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     ids = (
@@ -213,13 +239,15 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
                 c, ok = codes_of(text)
                 if ok and lang in model.languages:
                     h = model.entropies(c)
-                    rows.append((model.languages.index(lang), (h * np.sqrt(min(len(c), 400))).tolist()))
-            yield pd.DataFrame(rows, columns=["k", "h"]).astype({"k": "int32", "h": "object"})
+                    rows.append((model.languages.index(lang), len(c), h.tolist()))
+            yield pd.DataFrame(rows, columns=["k", "n", "h"]).astype({"k": "int32", "n": "int64", "h": "object"})
 
     aside = picked.filter(f"at % {CALIBRATE_EVERY} = 0").select("lang", "text")
-    seen = aside.mapInPandas(measure, "k int, h array<double>").collect() if model.languages else []
+    seen = aside.mapInPandas(measure, "k int, n long, h array<double>").collect() if model.languages else []
     if seen:
-        k, h = np.array([r["k"] for r in seen]), np.array([r["h"] for r in seen])
+        k, n, h = (np.array([r[c] for r in seen]) for c in ("k", "n", "h"))
+        model.usual = _usual(k, n, h)
+        h = h * np.sqrt(n)[:, None]
         loss = {}
         for t in (0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
             z = -h * t
@@ -230,21 +258,23 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel, reject: float = REJECT) -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy, rejected for each row (doc_id, text).
+    """doc_id, lang_pred, score, cross_entropy, excess, rejected for each row (doc_id, text).
 
     Whole texts are read. ``und`` with score 0 where the text is null or has no
     letter; otherwise the language of least cross-entropy per character.
-    ``rejected`` marks a posterior under ``reject``. Repeated rows get the same
+    ``excess`` is how many deviations that lies above what texts of the language
+    and length have; ``rejected`` marks ``reject`` and more, which texts of a
+    language not learned have. Repeated rows get the same
     answer; an empty table gives no rows; other columns are ignored.
     """
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double")
+    @F.pandas_udf("lang_pred string, score double, cross_entropy double, excess double")
     def language(text: pd.Series) -> pd.DataFrame:
-        names, score, entropy = model.predict(text)
-        return pd.DataFrame({"lang_pred": names, "score": score, "cross_entropy": entropy})
+        names, score, entropy, over = model.predict(text)
+        return pd.DataFrame({"lang_pred": names, "score": score, "cross_entropy": entropy, "excess": over})
 
     out = docs.select("doc_id", language("text").alias("_r")).select("doc_id", "_r.*")
-    return out.withColumn("rejected", F.col("score") < reject)
+    return out.withColumn("rejected", F.col("excess") >= reject)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

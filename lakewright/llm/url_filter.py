@@ -11,6 +11,8 @@ and its parent domain (a.b.c and b.c), for a site vouches for its subdomains.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,11 @@ RULES = (
     ("org", "/es/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+#: What may still move of either side's mass when propagation ends; DAMPING^k of it moves in round k.
+TOLERANCE = 0.01
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+#: Rounds between checkpoints.
+CUT_EVERY = 5
 #: Block where distrust / (trust + distrust) reaches this.
 BLOCK_SHARE = 0.6
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -52,19 +58,22 @@ def longest_rule(host: Column, path: Column, rules) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of distinct host links of pages (host, html), loops left out."""
+    """(src, dst) of distinct host links of pages (host, html), loops left out.
+
+    Null or empty hosts and null html have no links; repeated pages count once;
+    an empty table gives no rows. Relative links stay on their host.
+    """
     seen = F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))
     links = pages.filter(F.col("html").rlike(LINK)).select(
         F.col("host").alias("src"), F.explode(F.transform(seen, lower_ascii)).alias("dst")
     )
-    parent = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+|[^.]+\.[^.]+)$", 1)
-    names = pages.select("host").distinct()
-    up = names
-    tiers = None
-    for _ in range(3):
-        up = up.select("host", parent.alias("up")).filter("up <> ''")
-        tiers = up if tiers is None else tiers.unionByName(up)
-        up = up.select(F.col("up").alias("host")).distinct()
+    # Every host under its parent domains, down to two labels.
+    labels = F.split("host", r"\.")
+    n = F.size(labels)
+    name = lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")
+    steps = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(name(i).alias("host"), name(i + 1).alias("up")))
+    whole = pages.select("host").distinct().filter((n >= 3) & ~F.exists(labels, lambda x: x == ""))
+    tiers = whole.select(F.explode(steps).alias("s")).select("s.*").distinct()
     down = tiers.select(F.col("host").alias("src"), F.col("up").alias("dst"))
     back = tiers.select(F.col("up").alias("src"), F.col("host").alias("dst"))
     return links.unionByName(down).unionByName(back).filter("src <> '' and dst <> '' and src <> dst").distinct()
@@ -109,7 +118,7 @@ def propagate(
         rank = came.unionByName(home).groupBy("host").agg(
             F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")
         )
-        if k % 4 == 3 or k == rounds - 1:
+        if k % CUT_EVERY == CUT_EVERY - 1 or k == rounds - 1:
             rank = cut(rank)
     return rank
 

@@ -90,6 +90,27 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def test_a_language_not_learned_is_rejected(spark):
+    docs = languages(spark, 240)
+    model = langid.train(docs)
+    r = random.Random(9)
+    known = langid.identify(docs, model)
+    assert known.filter("rejected").count() <= 0.02 * docs.count()
+    other = ["".join(r.choice("szcżłwykoprj ") for _ in range(200)) for _ in range(20)] + ["zzzz qqqq", "ααβ γγδ εζη θικ"]
+    df = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    assert langid.identify(df, model).filter("rejected").count() == len(other)
+
+
+def test_held_out_toxicity(spark):
+    """Of the labelled rows that nothing is learned from, on the larger tables."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic")
+    out = toxicity.query(spark, folder).join(labels, "doc_id").filter("held_out")
+    rows = {(r["toxic"], r["predicted"]): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert rows.get((1, 1), 0) / (rows.get((1, 1), 0) + rows.get((1, 0), 0)) >= 0.6
+    assert rows.get((0, 1), 0) <= 0.05 * rows[0, 0]
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.fit({"x": {"aba": 3, "bab": 2, "abc": 1, "bca": 1, "cab": 4}})
     import numpy as np

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,43 @@ def test_edges(spark):
     out = U.judge_urls(df, rounds=2).collect()
     assert sorted(r["verdict"] for r in out) == ["allow", "block", "block", "block"]
     assert U.judge_urls(df.filter("false"), rounds=1).count() == 0
+
+
+def test_deep_hosts_reach_their_domain(spark):
+    df = spark.createDataFrame([(1, "http://a.b.c.d.e.example.org/x", None), (2, "http://example.org/es/1", None), (3, "http://a..org/", None)], "page_id long, url string, html string")
+    host, path = U.host_and_path(F.col("url"))
+    edges = {(r["src"], r["dst"]) for r in U.host_edges(df.select(host.alias("host"), "html")).collect()}
+    chain = ["a.b.c.d.e.example.org", "b.c.d.e.example.org", "c.d.e.example.org", "d.e.example.org", "e.example.org", "example.org"]
+    assert edges == {p for x, y in zip(chain, chain[1:]) for p in ((x, y), (y, x))}
+    assert {r["page_id"]: r["verdict"] for r in U.judge_urls(df).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    """Rules and the whole propagation again in plain Python, on every page."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    links = re.compile(U.LINK)
+    edges, good, bad, judged = set(), {}, {}, {}
+    lower = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+    for page, url, html in rows:
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = lower(re.match(r"[^/?#]*", rest)[0])
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        fit = [(len(h + p), h + p, v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        judged[page] = (host, path, max(fit)[1:] if fit else None)
+        if host and fit:
+            side = good if max(fit)[2] == "allow" else bad
+            side[host] = side.get(host, 0) + 1
+        edges |= {(host, lower(x)) for x in links.findall(html or "")}
+        parts = host.split(".")
+        for i in range(len(parts) - 2 if all(parts) else 0):
+            a, b = ".".join(parts[i:]), ".".join(parts[i + 1 :])
+            edges |= {(a, b), (b, a)}
+    edges = {(a, b) for a, b in edges if a and b and a != b}
+    scores = by_hand(edges, {h: (good.get(h, 0), bad.get(h, 0)) for h in {*good, *bad}}, U.DAMPING, U.ROUNDS)
+    got = {r["page_id"]: r for r in U.query(spark, sf_dir).collect()}
+    assert set(got) == set(judged)
+    for page, (host, path, rule) in judged.items():
+        r = got[page]
+        trust, distrust = (s.get(host, 0.0) for s in scores)
+        by_host = "block" if trust + distrust > 0 and round(distrust / (trust + distrust), 9) >= U.BLOCK_SHARE else "allow"
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule and rule[0], rule[1] if rule else by_host)
