@@ -418,12 +418,15 @@ def _alike(vectors: np.ndarray, own: int, often: np.ndarray) -> dict[int, list[i
     u = vectors[ok] / size[ok, None]
     out: dict[int, list[int]] = {}
     mine = np.flatnonzero(ok < own)
-    for at in range(0, len(mine), 512):
-        rows = mine[at : at + 512]
+    for at in range(0, len(mine), 64):
+        rows = mine[at : at + 64]
         cos = u[rows] @ u.T
         cos[np.arange(len(rows)), rows] = -1
-        for i, j in zip(*np.nonzero(cos >= np.maximum(np.sort(cos, axis=1)[:, -NEAREST:][:, :1], ALIKE)), strict=True):
-            out.setdefault(int(ok[rows[i]]), []).append(int(ok[j]))
+        for i, row in enumerate(cos):
+            near = np.argpartition(row, -NEAREST)[-NEAREST:] if len(row) > NEAREST else np.arange(len(row))
+            near = np.sort(near[row[near] >= ALIKE])
+            if len(near):
+                out[int(ok[rows[i]])] = ok[near].tolist()
     return out
 
 

@@ -144,22 +144,41 @@ class ToxicityModel:
         self.weights = w.tolist()
 
 
-def _grams(batches):
-    """(gram, kind, docs): documents per word beginning; kind is 2 * fold + toxic, and -1 for whole words."""
-    for pdf in batches:
-        counts: dict[tuple[str, int], int] = {}
-        for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
-            seen = set()
-            for w in set(words_of(text)):
-                padded = f" {w} "
-                seen.update((padded[:j], 2 * fold + toxic) for j in GRAM_LENGTHS if len(padded) >= j)
-                if not toxic:
-                    seen.add((w, -1))
-            for k in seen:
-                counts[k] = counts.get(k, 0) + 1
-        yield pd.DataFrame(
-            {"gram": [g for g, _ in counts], "kind": [t for _, t in counts], "docs": list(counts.values())}
-        ).astype({"gram": "object", "kind": "int32", "docs": "int64"})
+#: Rows that are counted together.
+COUNT_ROWS = 500
+
+
+def _grams(wanted: frozenset[str] | None = None):
+    """Counter of documents (gram, kind, docs) per word beginning, of those ``wanted`` if given.
+
+    kind is 2 * fold + toxic, and -1 for whole words of ordinary texts.
+    """
+
+    def count(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), COUNT_ROWS):
+                counts: dict[tuple[str, int], int] = {}
+                rows = pdf.iloc[at : at + COUNT_ROWS]
+                for text, toxic, fold in zip(rows["text"], rows["toxic"], rows["fold"], strict=True):
+                    own = set(words_of(text))
+                    seen = {g for w in own for g in beginnings(w)}
+                    if wanted is not None:
+                        seen &= wanted
+                    for g in seen:
+                        counts[g, 2 * fold + toxic] = counts.get((g, 2 * fold + toxic), 0) + 1
+                    if not toxic:
+                        for w in own:
+                            counts[w, -1] = counts.get((w, -1), 0) + 1
+                yield pd.DataFrame(
+                    {"gram": [g for g, _ in counts], "kind": [t for _, t in counts], "docs": list(counts.values())}
+                ).astype({"gram": "object", "kind": "int32", "docs": "int64"})
+
+    return count
+
+
+def beginnings(word: str) -> list[str]:
+    padded = f" {word} "
+    return [padded[:j] for j in GRAM_LENGTHS if len(padded) >= j]
 
 
 def _marking(grams: list[tuple[str, float]]) -> list[str]:
@@ -197,12 +216,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
     once = cut(first.unionByName(rows.filter("toxic = 0").select("text", "toxic")).select("text", "toxic", fold))
     totals = {(r["fold"], r["toxic"]): r["count"] for r in once.groupBy("fold", "toxic").count().collect()}
     docs_of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("docs")).otherwise(0))
-    counts = cut(
-        once.mapInPandas(_grams, "gram string, kind int, docs long")
-        .groupBy("gram")
-        .agg(docs_of(-1).alias("kw"), *[docs_of(2 * f + t).alias(f"k{t}_{f}") for f in range(FOLDS) for t in (0, 1)])
-        .filter(f"{' + '.join(f'k1_{f}' for f in range(FOLDS))} >= {MIN_DOCS} or kw >= {MIN_DOCS}")
+    schema = "gram string, kind int, docs long"
+    # Only what enough toxic rows hold can mark them, so only that is counted in the others.
+    often = (
+        once.filter("toxic = 1").mapInPandas(_grams(), schema)
+        .groupBy("gram").agg(F.sum("docs").alias("docs"), *[docs_of(2 * f + 1).alias(f"k1_{f}") for f in range(FOLDS)])
+        .filter(f"docs >= {MIN_DOCS}")
     )
+    often = cut(often)
+    wanted = frozenset(r["gram"] for r in often.select("gram").collect())
+    ordinary_rows = once.filter("toxic = 0").mapInPandas(_grams(wanted), schema).groupBy("gram")
+    others = ordinary_rows.agg(docs_of(-1).alias("kw"), *[docs_of(2 * f).alias(f"k0_{f}") for f in range(FOLDS)])
+    counts = cut(others.join(often.drop("docs"), "gram", "full").na.fill(0).filter(f"kw >= {MIN_DOCS} or {' + '.join(f'k1_{f}' for f in range(FOLDS))} > 0"))
 
     def toxic(folds: list[int]) -> bytes:
         """The toxic dictionary that these folds of the rows make."""
