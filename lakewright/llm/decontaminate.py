@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ FIT_DOCS = 20_000
 #: Of their words the commonest, if in so many of the passages, have a place in the latent space.
 FIT_WORDS = 16_384
 FIT_LEAST = 5
+#: Words that a larger share of all documents holds have no place there: they tell no passages apart.
+FREQUENT = 0.05
 SVD_TASKS = 8
 #: Rows of the model that are summed up together.
 SUM_ROWS = 2_048
@@ -139,6 +142,8 @@ class LatentIndex:
         self.holder = np.repeat(np.arange(len(own)), [len(w) for w in self.item_words])[by].astype(np.int32)
         self.times = np.concatenate([np.zeros(0, np.int64), *self.item_counts])[by].astype(np.int32)
         self.first = np.searchsorted(word[by], np.arange(self.own + 1))
+        #: Whether a word has a vector; the last entry is for words outside, -1.
+        self.placed = np.append(self.vectors.any(1), False)
         self.item_of = np.repeat(np.arange(len(own)), [len(_passages(x)) for x in self.item_ids])
 
         self.known_masks: dict[tuple[int, bool], tuple[dict[int, int], dict[int, int]]] = {}
@@ -158,15 +163,15 @@ class LatentIndex:
         return self.known_masks[k, reworded]
 
     def shares(self, k: int, region: list[int], reworded: bool = False) -> tuple[float, float]:
-        """Shares of an item and of its answer that stand in order in ``region``."""
+        """Shares of an item and of its answer that stand in order in ``region``; 0 for the answer where the item can't pass."""
         item, answer = self.masks(k, reworded)
         m, n = len(self.item_ids[k]), self.answers[k]
-        return common_subsequence(item, m, region) / m, common_subsequence(answer, n, region) / n
+        share = common_subsequence(item, m, region) / m
+        return share, common_subsequence(answer, n, region) / n if share >= LIKELY else 0.0
 
     def ids(self, text: str | None) -> np.ndarray:
-        get = self.words.get
         w = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DELETE).split()
-        x = np.array([get(t, -1) for t in w], np.int32)
+        x = np.fromiter(map(self.words.get, w, repeat(-1)), np.int32, len(w))
         if len(x) < 2:
             return x
         # Runs of one benchmark word count once; words outside are all -1 and stay.
@@ -192,7 +197,7 @@ class LatentIndex:
         for lo in range(0, total if self.items else 0, PIECE):
             hi = min(lo + PIECE, total)
             piece = laid[lo * STRIDE : (hi + 1) * STRIDE]
-            known = np.flatnonzero(piece >= 0)
+            known = np.flatnonzero(self.placed[piece])
             if not len(known):
                 continue
             cell = known // STRIDE
@@ -325,12 +330,11 @@ def _document_counts(docs: DataFrame, words: dict[bytes, int]) -> tuple[np.ndarr
 
     def count(batches):
         total, n = np.zeros(len(words), np.int64), 0
-        get = words.get
         for pdf in batches:
             for text in pdf["text"]:
                 n += 1
-                w = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DELETE).split()
-                x = np.array([get(t, -1) for t in set(w)], np.int32)
+                w = set((text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DELETE).split())
+                x = np.fromiter(map(words.get, w, repeat(-1)), np.int32, len(w))
                 total[x[x >= 0]] += 1
         at = np.flatnonzero(total)
         yield pd.DataFrame({"word": np.append(at, -1), "n": np.append(total[at], n)}).astype("int64")
@@ -379,7 +383,7 @@ def _product(passages: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.n
                 x, n = np.concatenate(ids), np.array([len(v) for v in ids])
                 first = np.cumsum(n) - n
                 w = weight[x]
-                w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)), n)
+                w = w / np.repeat(np.sqrt(np.maximum(np.add.reduceat(w * w, first), 1e-12)), n)
                 y = np.add.reduceat(w[:, None] * basis[x], first)
                 z = w[:, None] * np.repeat(y, n, axis=0)
                 order = np.argsort(x, kind="stable")
@@ -406,11 +410,26 @@ def _orthonormal(m: np.ndarray) -> np.ndarray:
     """Orthonormal columns of the span of ``m``, by its small Gram matrix; twice, for rounding."""
     for _ in range(2):
         value, turn = np.linalg.eigh((m.T @ m).astype(np.float64))
-        good = value > 1e-7 * max(value.max(), 1e-30)
+        good = value > 1e-7 * max(value.max(initial=0), 1e-30)
         m = m @ (turn[:, good] / np.sqrt(value[good])).astype(np.float32)
     return m
 
 
+def _latent_space(passages: DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word vectors to compare words by (over the root of the singular values), and to fold passages in."""
+    basis = np.random.default_rng(7).standard_normal((len(weight), min(DIMENSIONS + OVERSAMPLE, len(weight))), np.float32)
+    for _ in range(POWER_ROUNDS if weight.any() else 0):
+        basis = _orthonormal(_product(passages, weight, basis))
+    if not weight.any() or not basis.size:
+        return (np.zeros((len(weight), 1), np.float32),) * 2
+    value, turn = np.linalg.eigh((basis.T @ _product(passages, weight, basis)).astype(np.float64))
+    best = [k for k in np.argsort(-value)[:DIMENSIONS] if value[k] > 1e-6 * value.max()]
+    latent = basis @ turn[:, best].astype(np.float32)
+    # Folded in as queries are, over the singular values: else a few directions (languages) decide.
+    folded = (latent * weight[:, None] / np.sqrt(value[best])).astype(np.float32)
+    return latent * np.sqrt(np.sqrt(value[best])).astype(np.float32), folded
+
+
 def _alike(vectors: np.ndarray, own: int, often: np.ndarray) -> dict[int, list[int]]:
     """For each benchmark word the nearest others that may stand for it; rare ones have no place of their own."""
     size = np.sqrt((vectors * vectors).sum(1))
@@ -459,6 +478,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], sample: DataFrame | None
     df, n = _document_counts(docs, words)
     weight = (np.log((n + 1) / (df + 1)) + 1e-6).astype(np.float32)
     unseen = float(np.log(n + 1) + 1e-6)
+    placed = np.where(df <= FREQUENT * max(n, 20), weight, 0).astype(np.float32)
     sent = spark.sparkContext.broadcast(words)
 
     def numbered(batches):
@@ -470,19 +490,11 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], sample: DataFrame | None
     bench = spark.createDataFrame(rows, "ids array<int>")
     passages = cut(sample.mapInPandas(numbered, "ids array<int>").unionByName(bench).repartition(SVD_TASKS))
     sent.destroy()
-    size = max(1, min(DIMENSIONS + OVERSAMPLE, len(words)))
-    basis = _orthonormal(np.random.default_rng(7).standard_normal((len(words), size), np.float32))
-    for _ in range(POWER_ROUNDS):
-        basis = _orthonormal(_product(passages, weight, basis))
-    value, turn = np.linalg.eigh((basis.T @ _product(passages, weight, basis)).astype(np.float64))
-    best = [k for k in np.argsort(-value)[:DIMENSIONS] if value[k] > 1e-6 * value.max()]
-    latent = basis @ turn[:, best].astype(np.float32)
-    # Folded in as queries are, over the singular values: else a few directions (languages) decide.
-    vectors = (latent * weight[:, None] / np.sqrt(value[best])).astype(np.float32)
+    latent, vectors = _latent_space(passages, placed)
     own_vectors, first = passage_vectors(vectors, ids)
     return LatentIndex(
         words, own, weight, unseen, vectors, [i for i, _ in items], own_vectors, first, ids,
-        [answer_words(t) for _, t in items], _alike(latent * np.sqrt(np.sqrt(value[best])).astype(np.float32), own, often),
+        [answer_words(t) for _, t in items], _alike(latent, own, often),
     )
 
 

@@ -107,7 +107,7 @@ def test_a_long_item_is_near_its_own_words(spark):
 def reworded_corpus(seed=2):
     """Phrases of concepts, each concept written by either of two words."""
     r = random.Random(seed)
-    phrases = [r.sample(range(500), 8) for _ in range(400)]
+    phrases = [r.sample(range(1_600), 8) for _ in range(400)]
     said = lambda c: f"{'ab'[r.random() < 0.5]}{c}x"
     docs = [(d, " ".join(said(c) for _ in range(5) for c in r.choice(phrases))) for d in range(4_000)]
     bench = [(i, " ".join(f"a{c}x" for k in r.sample(range(400), 4) for c in phrases[k])) for i in range(10)]
