@@ -45,6 +45,8 @@ POWER_ROUNDS = 3
 ITEM_BLOCK = 512
 #: Documents (those with the smallest hashes) that give a passage each to the fit.
 FIT_DOCS = 20_000
+#: Characters from which that passage is taken, at a place that the hash chooses.
+FIT_CHARS = 400
 #: Of their words the commonest, if in so many of the passages, have a place in the latent space.
 FIT_WORDS = 16_384
 FIT_LEAST = 5
@@ -56,6 +58,8 @@ SUM_ROWS = 2_048
 #: Words of texts that are searched together, and strides of a piece of them.
 BATCH_WORDS = 16_384
 PIECE = 1_024
+#: Words of a text, at least, for which the items that can be there are found together.
+STRETCH = 512
 #: Cosine from which a window is a candidate; 7.6 deviations from that of unrelated passages (1 / sqrt(160)).
 COSINE = 0.6
 #: So many words, the nearest in the latent space, may stand for a word, from this cosine on.
@@ -142,6 +146,8 @@ class LatentIndex:
         self.holder = np.repeat(np.arange(len(own)), [len(w) for w in self.item_words])[by].astype(np.int32)
         self.times = np.concatenate([np.zeros(0, np.int64), *self.item_counts])[by].astype(np.int32)
         self.first = np.searchsorted(word[by], np.arange(self.own + 1))
+        self.longest = max(map(len, self.item_ids), default=0)
+        self.step = -(-max(STRETCH, 2 * self.longest) // STRIDE) * STRIDE
         #: Whether a word has a vector; the last entry is for words outside, -1.
         self.placed = np.append(self.vectors.any(1), False)
         self.item_of = np.repeat(np.arange(len(own)), [len(_passages(x)) for x in self.item_ids])
@@ -229,13 +235,17 @@ class LatentIndex:
         good = there.reshape(len(xs), n) >= self.least
         return [np.flatnonzero(g) for g in good]
 
-    def counted(self, x: np.ndarray, items):
+    def stretches(self, x: np.ndarray) -> list[tuple[int, int, int]]:
+        """(from, to, first window) of the overlapping parts of a text that hold all regions of their windows."""
+        long, step = self.longest, self.step
+        return [(max(0, at - long), min(len(x), at + step + PASSAGE + long), at) for at in range(0, len(x), step)]
+
+    def counted(self, x: np.ndarray, items, windows: np.ndarray):
         """(item, places of its words, starts of windows) where enough of an item's words are around to pass."""
         if not len(items):
             return
         known = np.flatnonzero((x >= 0) & (x < self.own))
         own = x[known]
-        windows = np.arange(0, len(x), STRIDE)
         for k in items:
             m = len(self.item_ids[k])
             words = self.item_words[k]
@@ -295,11 +305,16 @@ class LatentIndex:
 
     def _search(self, xs: list[np.ndarray]) -> list[list[tuple[int, float, float, float]]]:
         leaks = self.near(xs)
-        for x, leaked, items in zip(xs, leaks, self.enough(xs), strict=True):
-            for k, pos, windows in self.counted(x, [k for k in items.tolist() if k not in leaked]):
+        parts = [(t, *part) for t, x in enumerate(xs) for part in self.stretches(x)]
+        more: list[dict[int, tuple[float, float, float]]] = [{} for _ in xs]
+        held = self.enough([xs[t][lo:hi] for t, lo, hi, _ in parts])
+        for (t, lo, hi, at), items in zip(parts, held, strict=True):
+            x = xs[t][lo:hi]
+            windows = np.arange(at, min(at + self.step, len(xs[t])), STRIDE) - lo
+            for k, pos, near in self.counted(x, [k for k in items.tolist() if k not in leaks[t]], windows):
                 m = len(self.item_ids[k])
-                found, last = None, None
-                for start in windows.tolist():
+                found, last = more[t].get(k), None
+                for start in near.tolist():
                     # Only the item's words matter to a subsequence; windows with the same ones are alike.
                     span = np.searchsorted(pos, (start - m, start + PASSAGE + m)).tolist()
                     if span == last:
@@ -307,10 +322,10 @@ class LatentIndex:
                     last = span
                     share, answer = self.shares(k, x[pos[span[0] : span[1]]].tolist())
                     if passes(m, share, answer) and (not found or (share, answer) > found[1:]):
-                        found = (start, share, answer)
+                        found = (self.cosine(x, start, k), share, answer)
                 if found:
-                    leaked[k] = (self.cosine(x, found[0], k), *found[1:])
-        return [[(self.items[k], *v) for k, v in sorted(x.items())] for x in leaks]
+                    more[t][k] = found
+        return [[(self.items[k], *v) for k, v in sorted((a | b).items())] for a, b in zip(leaks, more, strict=True)]
 
 
 def _passages(ids: list[int]) -> list[list[int]]:
@@ -358,9 +373,9 @@ def _sample(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
         for pdf in batches:
             rows = []
             for text, place in zip(pdf["text"], pdf["place"], strict=True):
-                w = tokens(text)
-                at = place % max(1, len(w) - PASSAGE + 1)
-                rows.append(w[at : at + PASSAGE])
+                text = text or ""
+                at = place % max(1, len(text) - FIT_CHARS)
+                rows.append(tokens(text[at : at + FIT_CHARS])[at > 0 :][:PASSAGE])
             yield pd.DataFrame({"words": rows})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "place")
