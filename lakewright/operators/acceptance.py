@@ -116,23 +116,22 @@ def merge_same_answers(
     asked in order; both the cosine and ``confirm`` (on the sorted pair) must
     agree. References keep the larger score, support each entry once.
     """
-    kept: list[int] = []
-    out = [dict(a) for a in answers]
-    for i, a in enumerate(answers):
-        into = next(
-            (k for k in kept if vectors[k] @ vectors[i] >= cutoff and confirm(*sorted((answers[k]["answer"], a["answer"])))), None
-        )
-        if into is None:
-            kept.append(i)
-            continue
-        mine = out[into]
-        refs = dict(mine["references"])
-        for d, s in a["references"].items():
-            refs[d] = max(s, refs.get(d, s))
-        mine["references"] = refs
-        mine["support"] = list(dict.fromkeys([*mine["support"], *a["support"]]))
-        mine["score"] = max(mine["score"], a["score"])
-    return [out[k] for k in kept]
+    near = vectors @ vectors.T >= cutoff
+    leader = np.arange(len(answers))
+    for i in range(len(answers)):
+        before = np.flatnonzero(near[i, :i] & (leader[:i] == np.arange(i)))
+        same = (k for k in before if confirm(*sorted((answers[k]["answer"], answers[i]["answer"]))))
+        leader[i] = next(same, i)
+
+    def together(members: list[dict]) -> dict:
+        ids = dict.fromkeys(d for a in members for d in a["references"])
+        return members[0] | {
+            "score": max(a["score"] for a in members),
+            "references": {d: max(a["references"][d] for a in members if d in a["references"]) for d in ids},
+            "support": list(dict.fromkeys(x for a in members for x in a["support"])),
+        }
+
+    return [together([answers[i] for i in np.flatnonzero(leader == k)]) for k in np.unique(leader)]
 
 
 def merge_answers(answers: DataFrame, cutoff: float, confirm: Callable[[str, str], bool] = lambda a, b: True) -> DataFrame:

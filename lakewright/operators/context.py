@@ -5,14 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Typographic variants and the characters they count as.
-TYPOGRAPHY = str.maketrans(
-    {"‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-"}
-)
+#: Characters that count as one another: dashes, single and double quotation marks.
+ALIKE = (r"[\p{Pd}\u2212]", r"['\u2018-\u201B\u2039\u203A]", r"[\"\u201C-\u201F\u00AB\u00BB]")
 
 
 def within_budget(hits: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
@@ -49,33 +48,25 @@ def passage_block(shown: DataFrame, rendering: str, by: str = "query_id") -> Dat
     return left.join(g, by, "left").select(by, F.when(F.col("ps").isNull(), "PASSAGES: none.").otherwise(block).alias("block"))
 
 
-def folded(text: str) -> tuple[str, list[int]]:
-    """Text without differences of case, typography and white space, and where each character came from."""
-    chars, where, space = [], [], False
-    for i, c in enumerate(unicodedata.normalize("NFC", text).translate(TYPOGRAPHY)):
-        if c.isspace():
-            if not space:
-                chars.append(" ")
-                where.append(i)
-            space = True
-            continue
-        space = False
-        for x in c.casefold():
-            chars.append(x)
-            where.append(i)
-    return "".join(chars), where
+def quote_pattern(span: str) -> regex.Pattern | None:
+    """What a span's words look like whatever the case, the white space and the typography; None without words."""
+
+    def like(c: str) -> str:
+        kind = next((k for k in ALIKE if regex.fullmatch(k, c)), None)
+        return kind or regex.escape(c)
+
+    words = unicodedata.normalize("NFC", span).split()
+    pattern = r"\s+".join("".join(map(like, w)) for w in words)
+    return regex.compile(pattern, regex.V1 | regex.IGNORECASE | regex.FULLCASE) if words else None
 
 
 def closest_quote(span: str, text: str, most: int = 300) -> str | None:
-    """The text's own characters for a span that differs in case, typography or white space only."""
-    text = unicodedata.normalize("NFC", text)
-    want = folded(span)[0]
-    have, where = folded(text)
-    at = have.find(want) if want else -1
-    if at < 0:
+    """The text's own characters for a span that differs in case, typography or white space only; ``most`` of them."""
+    pattern = quote_pattern(span)
+    found = pattern and pattern.search(unicodedata.normalize("NFC", text))
+    if not found:
         return None
-    found = text[where[at] : where[at + len(want) - 1] + 1]
-    return found if len(found) <= most else found[:most] + "..."
+    return found[0] if len(found[0]) <= most else f"{found[0][:most]}..."
 
 
 def near_misses(claims: DataFrame) -> DataFrame:

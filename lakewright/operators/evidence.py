@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakewright.functions.text import cluster_key
+from lakewright.functions.text import cluster_key, nfc, utrim
 from lakewright.plans.grouped import fold_groups
 
 
@@ -17,17 +17,17 @@ def ground(claims: DataFrame, shown: DataFrame) -> DataFrame:
 
     Checks in order: empty span, empty claim, no passage, a passage that the
     loop was not shown (loop_id, passage_id, text), a span that the passage
-    does not hold. Texts are taken as composed (NFC) already.
+    does not hold. Span and text are compared in their composed form (NFC).
     """
     s = shown.select("loop_id", "passage_id", F.col("text").alias("_text"))
     j = claims.join(s, ["loop_id", "passage_id"], "left")
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: utrim(F.coalesce(c, F.lit(""))) == ""
     verdict = (
         F.when(blank(F.col("span")), "empty span")
         .when(blank(F.col("claim")), "empty claim")
         .when(F.col("passage_id").isNull(), "no passage")
         .when(F.col("_text").isNull(), "passage not shown")
-        .when(F.instr(F.col("_text"), F.col("span")) == 0, "span not in passage")
+        .when(F.instr(nfc(F.col("_text")), nfc(F.col("span"))) == 0, "span not in passage")
         .otherwise("grounded")
     )
     return j.withColumn("verdict", verdict).drop("_text")

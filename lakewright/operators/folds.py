@@ -8,7 +8,9 @@ there. Groups are single documents, whose size is bounded by what a text holds.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,35 +35,35 @@ def merge_short(
     paragraph, backward if not; a whole paragraph tries both, forward first,
     where paragraphs may be crossed. The fused text is counted anew and may
     not exceed ``cap``. What fits nowhere stays as it is.
+
+    An automaton over two stacks: what is settled, and what is to come. A
+    fused unit goes back to what is to come and is looked at again.
     """
-    done: list[tuple[int, int, int]] = []
-    at, n = 0, len(spans)
-    while at < n:
-        lo, hi, tokens = at, at, counts[at]
-        while tokens < min_tokens:
-            opens = lo == 0 or paras[lo - 1] != paras[lo]
-            closes = hi == n - 1 or paras[hi + 1] != paras[hi]
-            ways = ("on", "back") if opens and closes and cross_paragraph else ()
-            if opens != closes or not opens:
-                ways = ("on",) if opens else ("back",)
-            for way in ways:
-                if way == "on" and hi + 1 < n:
-                    new = (lo, hi + 1)
-                elif way == "back" and done:
-                    new = (done[-1][0], hi)
-                else:
-                    continue
-                fused = count(text[spans[new[0]][0] : spans[new[1]][1]])
-                if fused <= cap:
-                    if way == "back":
-                        done.pop()
-                    lo, hi, tokens = *new, fused
-                    break
-            else:
+    n = len(spans)
+    begins = [k in (0, n) or paras[k - 1] != paras[k] for k in range(n + 1)]
+    settled: list[tuple[int, int, int]] = []
+    coming = [(k, k, counts[k]) for k in reversed(range(n))]
+
+    def fusions(unit: tuple[int, int, int]):
+        """(partner's stack, first, last) of what the unit may become, the preferred first."""
+        opens, closes = begins[unit[0]], begins[unit[1] + 1]
+        alone = opens and closes
+        if coming and opens and (cross_paragraph or not alone):
+            yield coming, unit[0], coming[-1][1]
+        if settled and (not opens or alone and cross_paragraph):
+            yield settled, settled[-1][0], unit[1]
+
+    while coming:
+        unit = coming.pop()
+        fused = None
+        for partner, first, last in fusions(unit) if unit[2] < min_tokens else ():
+            tokens = count(text[spans[first][0] : spans[last][1]])
+            if tokens <= cap:
+                partner.pop()
+                fused = (first, last, tokens)
                 break
-        done.append((lo, hi, tokens))
-        at = hi + 1
-    return done
+        (coming if fused else settled).append(fused or unit)
+    return settled
 
 
 def pack(
@@ -72,47 +74,51 @@ def pack(
     overlap: float = 0.15,
     prefer_paragraph: bool = True,
     min_fill: float = 0.6,
+    special: int = 0,
 ) -> list[tuple[int, int, int, bool]]:
-    """Passages (first, last, tokens, oversized) over one document's sentences."""
+    """Passages (first, last, tokens, oversized) over one document's sentences.
+
+    ``special`` tokens of every passage are reserved from the budget. With
+    running totals, each end and each beginning is one search.
+    """
+    budget -= special
+    n, total = len(counts), [0, *accumulate(counts)]
+    large = [k for k in range(n) if counts[k] > budget]
+    turns = [k for k in range(1, n) if paras[k] != paras[k - 1]] if prefer_paragraph else []
+
+    def first_from(places: list[int], k: int) -> int:
+        at = bisect_left(places, k)
+        return places[at] if at < len(places) else n
+
     out: list[tuple[int, int, int, bool]] = []
-    first, filled, i = 0, 0, 0
-
-    def close(last: int, oversized: bool = False) -> None:
-        if last >= first:
-            out.append((first, last, sum(counts[first : last + 1]), oversized))
-
-    for i, c in enumerate(counts):
-        if c > budget:
-            close(i - 1)
-            first = i
-            close(i, True)
-            first, filled = i + 1, 0
+    first = fresh = 0
+    while fresh < n:
+        if counts[fresh] > budget:
+            out.append((fresh, fresh, counts[fresh], True))
+            first = fresh = fresh + 1
             continue
-        turns = i > first and paras[i] != paras[i - 1] and prefer_paragraph and filled >= min_fill * budget
-        if i > first and (turns or filled + c > budget):
-            close(i - 1)
-            start, tail = i, 0
-            room = budget - c
-            if overlap > 0 and counts[i - 1] <= room:
-                start, tail = i - 1, counts[i - 1]
-                while start > first and tail + counts[start - 1] <= min(overlap * budget, room):
-                    start -= 1
-                    tail += counts[start]
-            first, filled = start, tail
-        filled += c
-    close(len(counts) - 1)
+        full = bisect_right(total, total[first] + budget) - 1
+        filled = bisect_left(total, total[first] + min_fill * budget)
+        end = min(full, first_from(large, fresh), first_from(turns, max(fresh + 1, filled)))
+        out.append((first, end - 1, total[end] - total[first], False))
+        low, first, fresh = first, end, end
+        room = budget - counts[end] if end < n else -1
+        if overlap > 0 and counts[end - 1] <= room:
+            # The tail: as far back as the share and the room allow, one sentence at least.
+            first = bisect_left(total, total[end] - min(overlap * budget, room), low, end - 1)
     return out
 
 
 def batches(lengths: Sequence[int], *, budget: int, most: int) -> list[int]:
     """Batch number of each item, by length then place; no batch over ``budget`` unless one item is."""
-    out = [0] * len(lengths)
-    batch, used, held = 0, 0, 0
-    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        if held and (used + lengths[i] > budget or held >= most):
-            batch, used, held = batch + 1, 0, 0
-        out[i] = batch
-        used, held = used + lengths[i], held + 1
+    order = sorted(range(len(lengths)), key=lambda k: (lengths[k], k))
+    total = [0, *accumulate(lengths[k] for k in order)]
+    out, start, number = [0] * len(order), 0, 0
+    while start < len(order):
+        end = min(start + most, max(start + 1, bisect_right(total, total[start] + budget) - 1))
+        for k in order[start:end]:
+            out[k] = number
+        start, number = end, number + 1
     return out
 
 
@@ -159,10 +165,10 @@ def merge_units(spine: DataFrame, docs: DataFrame, *, count=count_words, **optio
 
 
 def pack_passages(spine: DataFrame, **options) -> DataFrame:
-    """passage_id, doc_id, lang, first, last, token_count, is_oversized of a spine."""
+    """passage_id, doc_id, lang, first, last, token_count, is_oversized of a spine; a null count is 0."""
 
     def fold(g: dict[str, list]) -> dict[str, list]:
-        out = pack(g["token_count"], g["paragraph_index"], **options)
+        out = pack([n or 0 for n in g["token_count"]], g["paragraph_index"], **options)
         n, doc = len(out), g["doc_id"][0]
         return {
             "passage_id": [f"{doc}#p{k}" for k in range(n)],
@@ -199,10 +205,10 @@ def passage_violations(passages: DataFrame, spine: DataFrame, budget: int) -> Da
 
 
 def length_batches(items: DataFrame, group: str, length: str, *, budget: int, most: int) -> DataFrame:
-    """``items`` (group, id, length) with ``batch`` inside each group, by (length, id)."""
+    """``items`` (group, id, length) with ``batch`` inside each group, by (length, id); a null length counts as 0."""
 
     def fold(g: dict[str, list]) -> dict[str, list]:
-        return g | {"batch": batches(g[length], budget=budget, most=most)}
+        return g | {"batch": batches([n or 0 for n in g[length]], budget=budget, most=most)}
 
     schema = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
     return fold_groups(items, [group], [length, "id"], fold, f"{schema}, batch int")

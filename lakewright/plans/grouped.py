@@ -17,23 +17,30 @@ def fold_groups(
     """``fold`` of each group's columns, sorted by ``order``, as rows of ``schema``.
 
     One shuffle on ``by``; each task streams its sorted rows and holds one group
-    at a time. Keys and the columns that fold reads must not be null where
-    pandas would change their type (numbers).
+    at a time. Null whole numbers reach ``fold`` as None.
     """
     cols = df.columns
     names = [c.strip().split()[0].strip("`") for c in schema.split(", ")]
 
+    whole = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+
+    def values(column: pd.Series) -> list:
+        # Whole numbers with nulls come as floats.
+        if column.name in whole and column.hasnans:
+            return [None if pd.isna(x) else int(x) for x in column.tolist()]
+        return column.tolist()
+
     def run(batches):
         key, held = None, {c: [] for c in cols}
         out: dict[str, list] = {n: [] for n in names}
 
         def close() -> None:
             if key is not None:
-                for n, values in fold(held).items():
-                    out[n].extend(values)
+                for n, column in fold(held).items():
+                    out[n].extend(column)
 
         for pdf in batches:
-            columns = {c: pdf[c].tolist() for c in cols}
+            columns = {c: values(pdf[c]) for c in cols}
             keys = list(zip(*(columns[k] for k in by), strict=True))
             start = 0
             while start < len(keys):

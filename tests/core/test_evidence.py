@@ -112,3 +112,10 @@ def test_last_complete_round_stops_at_a_gap(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("a", 3), ("b", 1)], "topic_id string, round int")
     got = {r["topic_id"]: r["through"] for r in evidence.last_complete_round(df).collect()}
     assert got == {"a": 1, "b": None}
+
+
+def test_grounding_compares_composed_texts(spark):
+    claims = [(1, "c", "e\u0301te\u0301", 1), (2, "c", "\u00a0", 1), (3, "c", "\u00e9t\u00e9", 1)]
+    df = spark.createDataFrame([(1, *c[1:3], c[3], c[0]) for c in claims], "loop_id int, claim string, span string, passage_id int, k int")
+    shown = spark.createDataFrame([(1, 1, "un \u00e9te\u0301 chaud")], "loop_id int, passage_id int, text string")
+    assert {r["k"]: r["verdict"] for r in evidence.ground(df, shown).collect()} == {1: "grounded", 2: "empty span", 3: "grounded"}

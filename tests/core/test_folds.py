@@ -93,3 +93,14 @@ def test_shards_are_cut_at_documents():
 def test_decode_cap_is_clamped():
     assert folds.decode_cap(3, ratio=2, extra=1, most=100) == 7
     assert folds.decode_cap(1000, most=100) == 100
+
+
+def test_special_tokens_are_reserved():
+    assert folds.pack([5, 3, 4], [0] * 3, budget=10, overlap=0, special=2) == [(0, 1, 8, False), (2, 2, 4, False)]
+
+
+def test_null_lengths_do_not_switch_the_budget_off(spark):
+    rows = [("g", i, n) for i, n in enumerate([None, 5, 5, 5, 5, 5, 5])]
+    df = spark.createDataFrame(rows, "grp string, id long, n int")
+    got = {r["id"]: r["batch"] for r in folds.length_batches(df, "grp", "n", budget=8, most=9).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5}
