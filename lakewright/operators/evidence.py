@@ -280,3 +280,13 @@ def trec_rows(ranked: DataFrame, tag: str, score: Column) -> DataFrame:
     return ranked.select(
         F.concat_ws(" ", F.col("topic_id").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), score, F.lit(tag)).alias("line")
     )
+
+
+def vital(weight: Column, cutoff: float) -> Column:
+    """Whether a nugget is vital: its weight reaches ``cutoff``. A null weight is not."""
+    return F.coalesce(weight >= cutoff, F.lit(False))
+
+
+def uncovered(topics: DataFrame, run: DataFrame, by: str = "topic_id") -> DataFrame:
+    """Topics (by) that a run has no row of; each once."""
+    return topics.select(by).distinct().join(run.select(by), by, "left_anti")

@@ -50,3 +50,8 @@ def overlap_score(query_words: Column, text_words: Column) -> Column:
     """Stand-in for a cross-encoder: log of the smoothed share of query words in the text."""
     q = F.array_distinct(query_words)
     return F.log((F.size(F.array_intersect(q, text_words)) + 0.5) / (F.size(q) + 1))
+
+
+def candidate_depth(top_k: int, rerank_depth: int) -> int:
+    """How many hits each pool must give: enough for the answer and for the reranker, one at least."""
+    return max(top_k, rerank_depth, 1)

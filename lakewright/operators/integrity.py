@@ -71,3 +71,15 @@ def hash_sample(rows: DataFrame, by: list[str], id_: str, k: int, seed: str) ->
     order = F.md5(F.concat(F.lit(seed), F.col(id_).cast("string")).cast("binary"))
     w = W.partitionBy(*by).orderBy(order, id_)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def first_mismatch(left: DataFrame, right: DataFrame, by: list[str], ordinal: str, value: str) -> DataFrame:
+    """(by, ordinal): the first place where two sequences (by, ordinal, value) differ or one ends.
+
+    Sequences that are the same give no row; nulls are equal.
+    """
+    a = left.select(*by, ordinal, F.col(value).alias("_a"), F.lit(True).alias("_in_a"))
+    b = right.select(*by, ordinal, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
+    both = a.join(b, [*by, ordinal], "full")
+    same = F.col("_a").eqNullSafe(F.col("_b")) & F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    return both.filter(~same).groupBy(*by).agg(F.min(ordinal).alias(ordinal))

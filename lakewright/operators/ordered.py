@@ -66,3 +66,23 @@ def interpolate(rows: DataFrame, by: list[str], order: str, value: str) -> DataF
     slope = (F.col("_b.y") - F.col("_a.y")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0))
     line = F.col("_a.y") + slope * (F.col(order).cast("double") - F.col("_a.x"))
     return r.withColumn("filled", F.coalesce(F.col(value).cast("double"), line)).drop("_a", "_b")
+
+
+def run_starts(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """(by, value, ordinal): where each run of equal ``value`` begins, by its place from 0; nulls are equal."""
+    w = W.partitionBy(*by).orderBy(*order)
+    at = (F.row_number().over(w) - 1).cast("long")
+    turn = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    return rows.withColumn("ordinal", at).withColumn("_turn", turn).filter("_turn").select(*by, value, "ordinal")
+
+
+def slices(rows: DataFrame, by: list[str], order: list[str], width: int) -> DataFrame:
+    """``rows`` with ``slice``: ``width`` contiguous slices of sizes that differ by one at most.
+
+    Slice i of n rows takes the places from floor(i n / width) up to the next
+    slice's first; with fewer rows than slices some slices are empty.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    n = F.count(F.lit(1)).over(W.partitionBy(*by))
+    number = F.expr(f"((_at * {width}L + _n - 1) div _n) - 1")
+    return rows.withColumn("_at", F.row_number().over(w)).withColumn("_n", n).withColumn("slice", number).drop("_at", "_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.operators import agreement, integrity, ordered, rounds
+from lakewright.operators import agreement, evidence, integrity, ordered, rounds
 from lakewright.queries.tables import EVIDENCE, answers, nuggets, read
 
 QUERIES: dict = {}
@@ -302,3 +302,52 @@ def semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda how, name: c.join(o, "c_custkey", how).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias(name))
     j = n("left_semi", "with_orders").join(n("left_anti", "without_orders"), "c_mktsegment", "full")
     return j.select("c_mktsegment", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("with_orders", "without_orders")])
+
+
+@_query(
+    "run_starts",
+    """SELECT l_suppkey, l_orderkey, ordinal FROM (SELECT l_suppkey, l_orderkey, row_number() OVER w - 1 AS ordinal, lag(l_orderkey) OVER w AS before
+FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)) WHERE before IS DISTINCT FROM l_orderkey""",
+)
+def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the lines of each order begin in a supplier's list."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    return ordered.run_starts(lines, ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_orderkey")
+
+
+@_query(
+    "part_slices",
+    """WITH r AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders),
+bounds AS (SELECT o_orderstatus, i AS slice, i * n // 7 AS first, (i + 1) * n // 7 AS stop FROM (SELECT DISTINCT o_orderstatus, n FROM r), range(7) t(i))
+SELECT r.o_orderstatus, o_orderkey, slice FROM r JOIN bounds b ON b.o_orderstatus = r.o_orderstatus AND place >= first AND place < stop""",
+)
+def part_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a status in seven contiguous slices."""
+    rows = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey")
+    return ordered.slices(rows, ["o_orderstatus"], ["o_orderkey"], 7)
+
+
+@_query(
+    "sequence_mismatch",
+    """WITH a AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ordinal FROM documents),
+b AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ordinal FROM documents WHERE n_chars > 100 OR lang = 'en')
+SELECT lang, min(ordinal) AS ordinal FROM a FULL JOIN b USING (lang, ordinal) WHERE a.doc_id IS DISTINCT FROM b.doc_id GROUP BY lang""",
+)
+def sequence_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each language against the ids without short documents, which all languages but one lose."""
+    docs = read(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
+    order = lambda d: ordered.parts(d.select("lang", "doc_id"), ["lang"], ["doc_id"], 1_000).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return integrity.first_mismatch(order(docs), order(docs.filter("n_chars > 100 or lang = 'en'")), ["lang"], "ordinal", "doc_id")
+
+
+@_query("vital_nuggets", f"WITH {EVIDENCE} SELECT nugget_id, coalesce(weight >= 0.5, false) AS vital FROM nuggets")
+def vital_nuggets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nuggets(spark, sf_dir).select("nugget_id", evidence.vital(F.col("weight"), 0.5).alias("vital"))
+
+
+@_query("topic_gaps", "SELECT c_custkey AS topic_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def topic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as topics that no finished order covers."""
+    topics = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("topic_id"))
+    run = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("topic_id"))
+    return evidence.uncovered(topics, run)

@@ -99,3 +99,29 @@ def test_set_checks(spark):
     x = integrity.set_digest(a.distinct().withColumn("g", F.lit(1)), "id", ["g"]).first()["digest"]
     y = integrity.set_digest(a.distinct().orderBy(F.desc("id")).withColumn("g", F.lit(1)), "id", ["g"]).first()["digest"]
     assert x == y
+
+
+def test_candidate_depth():
+    from lakewright.operators import fusion
+
+    assert [fusion.candidate_depth(*x) for x in ((20, 100), (20, 0), (0, 0))] == [100, 20, 1]
+
+
+def test_slices_are_contiguous_and_even(spark):
+    from lakewright.operators import ordered
+
+    for n, width in ((10, 3), (2, 5), (7, 7), (1, 1)):
+        rows = spark.createDataFrame([("p", i) for i in range(n)], "part string, id int")
+        got = [r["slice"] for r in ordered.slices(rows, ["part"], ["id"], width).orderBy("id").collect()]
+        want = [next(i for i in range(width) if i * n // width <= k < (i + 1) * n // width) for k in range(n)]
+        assert got == want
+
+
+def test_first_mismatch_sees_ends_and_nulls(spark):
+    from lakewright.operators import integrity
+
+    rows = lambda x: spark.createDataFrame(x, "p string, at int, v string")
+    left = rows([("a", 0, "x"), ("a", 1, None), ("b", 0, "x"), ("b", 1, "y"), ("c", 0, "x")])
+    right = rows([("a", 0, "x"), ("a", 1, None), ("b", 0, "x"), ("c", 0, "z"), ("d", 0, None)])
+    got = {r["p"]: r["at"] for r in integrity.first_mismatch(left, right, ["p"], "at", "v").collect()}
+    assert got == {"b": 1, "c": 0, "d": 0}
