@@ -4,7 +4,8 @@ Queries are a small stated set that meets all rows. The dense legs take them in
 blocks of ``QUERY_BLOCK`` rows, whose vectors travel with the task closure (a
 bounded size); every task scores its Arrow batch against a block by one matrix
 product and keeps its own best k per query, so only k rows per query and batch
-are shuffled. The sparse leg joins postings by term.
+are shuffled. Late interaction and the sparse leg over texts work alike; over
+stored postings, the sparse leg joins by term.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4_096
+#: Queries of many vectors or words in a block.
+TOKEN_BLOCK = 256
+#: Most word counts a task lays out at once.
+COUNTS = 4_000_000
+#: Most terms that are broadcast.
+MOST_TERMS = 200_000
 #: Scores are rounded before ranking, so that the order of additions decides nothing.
 DIGITS = 9
 
@@ -26,19 +33,59 @@ def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", id_: s
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, id_: str, columns: list[str]):
-    """Pandas frames of at most QUERY_BLOCK queries, in order of id."""
-    at = F.row_number().over(W.orderBy(id_)) - 1
-    numbered = queries.select(id_, *columns).withColumn("_block", F.floor(at / QUERY_BLOCK).cast("int"))
-    last = numbered.agg(F.max("_block")).first()[0]
-    for b in range(0 if last is None else last + 1):
-        yield numbered.filter(F.col("_block") == b).drop("_block").toPandas()
+def _blocks(queries: DataFrame, id_: str, columns: list[str], size: int = QUERY_BLOCK):
+    """Pandas frames of about ``size`` queries, dealt by a hash of the id; each is one small action."""
+    n = -(-queries.count() // size)
+    own = queries.select(id_, *columns)
+    for b in range(n):
+        yield own.filter(F.pmod(F.xxhash64(id_), F.lit(n)) == b).toPandas()
 
 
 def _matrix(vectors) -> np.ndarray:
     return np.array(list(vectors), dtype=np.float64)
 
 
+def _result(docs: DataFrame, cell: str | None) -> str:
+    return "query_id long, " + (f"`{cell}` {dict(docs.dtypes)[cell]}, " if cell else "") + "id long, score double"
+
+
+def _best(ids: np.ndarray, pdf: pd.DataFrame, scores: np.ndarray, k: int, cell: str | None):
+    """Frames of the k best finite scores (queries x rows) per query and cell; ties go to the smaller id."""
+    own = pdf["id"].to_numpy()
+    groups = pdf.groupby(cell, sort=False, dropna=False).indices.items() if cell else [(None, np.arange(len(pdf)))]
+    for name, at in groups:
+        part = scores[:, at]
+        order = np.lexsort((np.broadcast_to(own[at], part.shape), -part), axis=1)[:, :k]
+        frame = pd.DataFrame(
+            {
+                "query_id": np.repeat(ids, order.shape[1]),
+                "id": own[at][order].ravel(),
+                "score": np.take_along_axis(part, order, 1).ravel(),
+            }
+        )
+        if cell:
+            frame.insert(1, cell, None if pd.isna(name) else name)
+        yield frame[np.isfinite(frame["score"])]
+
+
+def _over_blocks(docs: DataFrame, columns: list[str], scorers, k: int, cell: str | None) -> DataFrame:
+    """The k best of all rows under each block's scorer, a function of one Arrow batch to (rows, scores)s."""
+    out = None
+    for ids, scorer in scorers:
+
+        def run(batches, ids=ids, scorer=scorer):
+            for pdf in batches:
+                if len(pdf):
+                    for rows, scores in scorer(pdf):
+                        yield from _best(ids, rows, scores, k, cell)
+
+        part = docs.select("id", *columns, *([cell] if cell else [])).mapInPandas(run, _result(docs, cell))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], _result(docs, cell))
+    return top_k(out, k, ["query_id"] + ([cell] if cell else []))
+
+
 def dense_top_k(
     queries: DataFrame, docs: DataFrame, k: int, *, cell: str | None = None, exclude_self: bool = False
 ) -> DataFrame:
@@ -48,78 +95,102 @@ def dense_top_k(
     With a cell the k best of each cell are kept. Runs one small action per
     block of queries.
     """
-    keys = ["query_id"] + ([cell] if cell else [])
-    schema = "query_id long, " + (f"`{cell}` {dict(docs.dtypes)[cell]}, " if cell else "") + "id long, score double"
-    rows = docs.select("id", "vector", *([cell] if cell else []))
-    out = None
-    for block in _blocks(queries, "query_id", ["vector"]):
-        q, ids = _matrix(block["vector"]), block["query_id"].to_numpy()
 
-        def score(batches, q=q, ids=ids):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                own = pdf["id"].to_numpy()
-                s = np.round(q @ _matrix(pdf["vector"]).T, DIGITS)
-                groups = pdf.groupby(cell, sort=False).indices.items() if cell else [(None, np.arange(len(pdf)))]
-                for name, at in groups:
-                    part = s[:, at]
-                    if exclude_self:
-                        part = np.where(ids[:, None] == own[at][None, :], -np.inf, part)
-                    order = np.lexsort((np.broadcast_to(own[at], part.shape), -part), axis=1)[:, :k]
-                    got = np.take_along_axis(part, order, 1)
-                    frame = pd.DataFrame(
-                        {"query_id": np.repeat(ids, order.shape[1]), "id": own[at][order].ravel(), "score": got.ravel()}
-                    )
-                    if cell:
-                        frame[cell] = name
-                        frame = frame[["query_id", cell, "id", "score"]]
-                    yield frame[np.isfinite(frame["score"])]
-
-        part = rows.mapInPandas(score, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
-    return top_k(out, k, keys)
+    def scorers():
+        for block in _blocks(queries, "query_id", ["vector"]):
+            q, ids = _matrix(block["vector"]), block["query_id"].to_numpy()
+
+            def score(pdf, q=q, ids=ids):
+                s = np.round(q @ _matrix(pdf["vector"]).T, DIGITS) if len(q) else np.empty((0, len(pdf)))
+                if exclude_self:
+                    s[ids[:, None] == pdf["id"].to_numpy()[None, :]] = -np.inf
+                yield pdf, s
+
+            yield ids, score
 
+    return _over_blocks(docs, ["vector"], scorers(), k, cell)
 
-def max_sim_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+
+def max_sim_top_k(queries: DataFrame, docs: DataFrame, k: int, dim: int, *, cell: str | None = None) -> DataFrame:
     """Late interaction: sum over a query's vectors of the best product with a document's vectors.
 
-    queries: query_id, vector (one row per query token); docs: id, vector (one
-    row per document token). Documents meet query blocks in tasks; the best
-    product per token and document is aggregated before the sum.
+    queries: query_id, vectors; docs: id, vectors and, if named, a cell column,
+    where ``vectors`` holds a text's token vectors of ``dim`` numbers end to
+    end. Products, sums and each task's k best stay inside the task, so only k
+    rows per query, cell and batch are shuffled. Texts without a token meet
+    nothing.
     """
-    tokens = queries.withColumn("_t", F.row_number().over(W.partitionBy("query_id").orderBy(F.to_json(F.array("vector")))))
-    tokens = tokens.select((F.col("query_id") * 1_000_000 + F.col("_t")).alias("token_id"), "vector")
-    out = None
-    for block in _blocks(tokens, "token_id", ["vector"]):
-        q, ids = _matrix(block["vector"]), block["token_id"].to_numpy()
 
-        def score(batches, q=q, ids=ids):
-            for pdf in batches:
-                if len(pdf):
-                    s = np.round(_matrix(pdf["vector"]) @ q.T, DIGITS)
-                    best = pd.DataFrame(s, columns=ids).groupby(pdf["id"].to_numpy()).max()
-                    long = best.stack()
-                    yield pd.DataFrame(
-                        {"id": long.index.get_level_values(0), "token_id": long.index.get_level_values(1), "score": long.to_numpy()}
-                    ).astype({"token_id": "int64"})
-
-        part = docs.select("id", "vector").mapInPandas(score, "id long, token_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "id long, token_id long, score double")
-    best = out.groupBy("id", "token_id").agg(F.max("score").alias("score"))
-    total = best.groupBy(F.floor(F.col("token_id") / 1_000_000).cast("long").alias("query_id"), "id").agg(
-        F.round(F.sum("score"), 6).alias("score")
-    )
-    return top_k(total, k, ["query_id"])
+    def scorers():
+        for block in _blocks(queries.filter(F.size("vectors") > 0), "query_id", ["vectors"], TOKEN_BLOCK):
+            tokens = _matrix(np.concatenate(list(block["vectors"]))).reshape(-1, dim) if len(block) else np.empty((0, dim))
+            sizes = np.array([len(v) // dim for v in block["vectors"]], dtype=np.int64)
+            begins = np.cumsum(sizes) - sizes
+            # Equal vectors of the block meet a document once.
+            tokens, place = np.unique(tokens, axis=0, return_inverse=True)
+
+            def score(pdf, tokens=tokens, begins=begins, place=place.ravel()):
+                pdf = pdf[pdf["vectors"].map(len) > 0]
+                if not len(pdf) or not len(tokens):
+                    return
+                best = np.empty((len(begins), len(pdf)))
+                for at, v in enumerate(pdf["vectors"]):
+                    s = np.round((np.asarray(v).reshape(-1, dim) @ tokens.T).max(axis=0), DIGITS)
+                    best[:, at] = np.add.reduceat(s[place], begins)
+                yield pdf, np.round(best, 6)
+
+            yield block["query_id"].to_numpy(), score
+
+    return _over_blocks(docs.filter(F.size("vectors") > 0), ["vectors"], scorers(), k, cell)
+
 
+def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, *, cell: str | None = None) -> DataFrame:
+    """The sparse leg over texts: products of weights ln(1 + times a word occurs), summed per pair.
 
-def postings(texts: DataFrame, words: Column) -> DataFrame:
-    """(id, term, weight) with weight ln(1 + times the term occurs)."""
+    queries: query_id, words; docs: id, words and, if named, a cell column.
+    Each task counts only the block's words in its own documents and keeps its
+    k best, so neither postings nor pairs are shuffled and a word that most
+    documents hold is no hot key. Pairs without a common word are no hits.
+    """
+
+    def scorers():
+        for block in _blocks(queries, "query_id", ["words"], TOKEN_BLOCK):
+            place: dict[str, int] = {}
+            cells = [(place.setdefault(w, len(place)), q) for q, words in enumerate(block["words"]) for w in words]
+            ids = block["query_id"].to_numpy()
+
+            def score(pdf, place=place, cells=cells, n=len(ids)):
+                width = len(place)
+                if not width:
+                    return
+                asked = np.zeros((width, n))
+                np.add.at(asked, tuple(np.array(cells).T), 1)
+                asked = np.log1p(asked)
+                step = max(1, COUNTS // width)
+                for low in range(0, len(pdf), step):
+                    rows = pdf.iloc[low : low + step]
+                    found = [row * width + place[w] for row, words in enumerate(rows["words"]) for w in words if w in place]
+                    counts = np.bincount(np.array(found, dtype=np.int64), minlength=len(rows) * width)
+                    s = np.round(np.log1p(counts.reshape(len(rows), width)) @ asked, 6).T
+                    yield rows, np.where(s > 0, s, -np.inf)
+
+            yield ids, score
+
+    return _over_blocks(docs, ["words"], scorers(), k, cell)
+
+
+def postings(texts: DataFrame, words: Column, terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, weight) with weight ln(1 + times the term occurs).
+
+    With ``terms`` (a column term) only those are counted: other words leave
+    before the shuffle where the terms, whose number is checked, can be sent to
+    every task.
+    """
     t = texts.select("id", F.explode(words).alias("term")).filter("term <> ''")
+    if terms is not None:
+        asked = terms.select("term").distinct()
+        few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+        t = t.join(F.broadcast(asked) if few else asked, "term", "left_semi")
     return t.groupBy("id", "term").agg(F.log1p(F.count(F.lit(1))).alias("weight"))
 
 
@@ -129,16 +200,20 @@ def prune_postings(post: DataFrame, k: int) -> DataFrame:
     return post.filter("weight > 0").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
+def sparse_scores(query_terms: DataFrame, post: DataFrame) -> DataFrame:
+    """(query_id, id, score): weighted term products, summed per pair that shares a term."""
+    q = query_terms.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("_wq"))
+    pairs = post.join(q, "term").withColumn("p", F.col("_wq") * F.col("weight"))
+    return pairs.groupBy("query_id", "id").agg(F.round(F.sum("p"), 6).alias("score"))
+
+
 def sparse_top_k(query_terms: DataFrame, post: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): weighted term products, summed per pair.
+    """(query_id, id, score, rank) of ``sparse_scores``.
 
     Only documents that share a term are scored. A term that most documents
     hold makes a skewed key, which adaptive execution splits.
     """
-    q = query_terms.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("_wq"))
-    pairs = post.join(q, "term").withColumn("p", F.col("_wq") * F.col("weight"))
-    scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum("p"), 6).alias("score"))
-    return top_k(scored, k, ["query_id"])
+    return top_k(sparse_scores(query_terms, post), k, ["query_id"])
 
 
 def unit_norm_violations(vectors: DataFrame, tolerance: float = 1e-2) -> DataFrame:

@@ -1,8 +1,7 @@
 """Paragraphs and offset-addressed sentences.
 
-All of a document's work is inside its row until sentences are exploded, so
-segmentation shuffles nothing; only the dense numbering is a window, on the
-document key that every later stage uses.
+All of a document's work is inside its row until sentences, numbered already,
+are exploded, so segmentation shuffles nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from lakewright.operators.boilerplate import is_chrome
 
 #: Stand-in for a sentence model: up to and with a run of terminators.
 SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+$"
+#: Strings gathered before they are set aside.
+RUN = 256
 
 
 def paragraphs(docs: DataFrame, *, mode: str = "blank", strip: str | None = "v1") -> DataFrame:
@@ -41,38 +42,55 @@ def paragraphs(docs: DataFrame, *, mode: str = "blank", strip: str | None = "v1"
     return docs.select("doc_id", "lang", paras.alias("paragraphs")).withColumn("text", F.array_join("paragraphs", " "))
 
 
-def starts(parts: Column, gap: int) -> Column:
-    """Start of each string in their join by ``gap`` characters."""
-    sizes = F.transform(parts, lambda x: F.length(x) + gap)
-    return F.transform(
-        parts, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+def placed(parts: Column, gap: int) -> Column:
+    """Structs (part, at) of strings, ``at`` being each one's start in their join by ``gap`` characters.
+
+    One pass. What is gathered is set aside every ``RUN`` strings, for an array
+    is copied whenever it grows.
+    """
+    item = "array<struct<part:string,at:int>>"
+    zero = F.struct(
+        F.array().cast(f"array<{item}>").alias("aside"), F.array().cast(item).alias("run"), F.lit(0).alias("at")
     )
 
+    def step(acc: Column, x: Column) -> Column:
+        full = F.size(acc["run"]) >= RUN
+        one = F.array(F.struct(x.alias("part"), acc["at"].alias("at")))
+        return F.struct(
+            F.when(full, F.concat(acc["aside"], F.array(acc["run"]))).otherwise(acc["aside"]).alias("aside"),
+            F.when(full, one).otherwise(F.concat(acc["run"], one)).alias("run"),
+            (acc["at"] + F.length(x) + gap).alias("at"),
+        )
+
+    return F.aggregate(parts, zero, step, lambda acc: F.flatten(F.concat(acc["aside"], F.array(acc["run"]))))
+
 
 def sentences(paras: DataFrame, pattern: str = SENTENCE) -> DataFrame:
     """The sentence spine of ``paragraphs``' result, text included.
 
     sentence_id, doc_id, sentence_index, lang, start, end, paragraph_index,
     token_count, sentence. Spans are trimmed and index the document's text.
+    Each row of ``paras`` is numbered by itself.
     """
-    p = paras.withColumn("at", starts(F.col("paragraphs"), 1)).select(
-        "doc_id", "lang", F.posexplode(F.arrays_zip("paragraphs", "at")).alias("paragraph_index", "p")
-    )
-    p = p.select("doc_id", "lang", "paragraph_index", F.col("p.paragraphs").alias("para"), F.col("p.at").alias("base"))
-    p = p.withColumn("segs", F.regexp_extract_all("para", F.lit(pattern), 0)).withColumn("seg_at", starts(F.col("segs"), 0))
-    s = p.select("doc_id", "lang", "paragraph_index", "base", F.explode(F.arrays_zip("segs", "seg_at")).alias("s"))
-    lead = F.length(F.regexp_extract("s.segs", r"(?U)^\s*", 0))
-    s = s.withColumn("sentence", utrim(F.col("s.segs"))).withColumn("start", F.col("base") + F.col("s.seg_at") + lead)
-    s = s.filter("sentence <> ''").withColumn("end", F.col("start") + F.length("sentence"))
-    order = W.partitionBy("doc_id").orderBy("start", "end")
-    s = s.withColumn("sentence_index", F.row_number().over(order) - 1)
+
+    def cut(p: Column, i: Column) -> Column:
+        segs = F.filter(placed(F.regexp_extract_all(p["part"], F.lit(pattern), 0), 0), lambda s: s["part"].rlike(r"(?U)\S"))
+        return F.transform(
+            segs, lambda s: F.struct(i.alias("paragraph_index"), (p["at"] + s["at"]).alias("at"), s["part"].alias("part"))
+        )
+
+    every = F.flatten(F.transform(placed(F.col("paragraphs"), 1), cut))
+    s = paras.select("doc_id", "lang", F.posexplode(every).alias("sentence_index", "s"))
+    s = s.select("doc_id", "lang", "sentence_index", "s.*")
+    lead = F.length(F.regexp_extract("part", r"(?U)^\s*", 0))
+    s = s.withColumn("sentence", utrim(F.col("part"))).withColumn("start", F.col("at") + lead)
     return s.select(
         mint(F.col("doc_id"), "s", F.col("sentence_index")).alias("sentence_id"),
         "doc_id",
         "sentence_index",
         "lang",
-        F.col("start").cast("int").alias("start"),
-        F.col("end").cast("int").alias("end"),
+        "start",
+        (F.col("start") + F.length("sentence")).alias("end"),
         "paragraph_index",
         word_count(F.col("sentence")).alias("token_count"),
         "sentence",

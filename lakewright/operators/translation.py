@@ -13,20 +13,29 @@ from pyspark.sql import functions as F
 
 from lakewright.functions.text import MARKER, join_constituents, mint, scrub_markers, split_translation
 
+#: What a unit knows of each of its sentences.
+MEMBER = ["sentence_index", "start", "end", "paragraph_index", "token_count"]
+
 
 def units_of(spine: DataFrame, size: int = 2) -> DataFrame:
     """Merge units of ``size`` neighbours (the last may be shorter); English stays single.
 
-    doc_id, lang, head (first sentence_index), n, token_count, constituents.
+    doc_id, lang, head (first sentence_index), n, token_count, constituents,
+    members (the sentences' index, span, paragraph and count, which
+    ``reconcile`` then needn't look up). One shuffle, on the document.
     """
     n = F.when(F.col("lang") == "en", 1).otherwise(size)
     at = (F.floor(F.col("sentence_index") / n) * n).cast("int")
-    return spine.groupBy("doc_id", "lang", at.alias("head")).agg(
+    row = F.struct(*MEMBER, "sentence")
+    units = spine.repartition("doc_id").groupBy("doc_id", "lang", at.alias("head")).agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         F.sum("token_count").cast("int").alias("token_count"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("sentence_index", "sentence"))), lambda x: x["sentence"]
-        ).alias("constituents"),
+        F.array_sort(F.collect_list(row)).alias("_rows"),
+    )
+    return units.select(
+        "doc_id", "lang", "head", "n", "token_count",
+        F.transform("_rows", lambda x: x["sentence"]).alias("constituents"),
+        F.transform("_rows", lambda x: F.struct(*[x[c].alias(c) for c in MEMBER])).alias("members"),
     )
 
 
@@ -43,22 +52,26 @@ def reconcile(raw: DataFrame, spine: DataFrame, min_segment_chars: int = 1) -> t
 
     A unit splits back where its marked segments are as many as its sentences
     and none is shorter than ``min_segment_chars``; else it becomes one fused
-    sentence over the union of the spans. English is kept as it is.
+    sentence over the union of the spans. English is kept as it is. Units that
+    carry their members need no look at the spine.
     """
     parts = split_translation(F.col("text_raw"), F.col("n"))
     parts = F.when((F.col("n") > 1) & F.forall(parts, lambda x: F.length(x) >= min_segment_chars), parts)
     r = raw.withColumn("parts", parts).withColumn("fused", (F.col("n") > 1) & F.col("parts").isNull())
-    member = r.select(
-        "doc_id", "head", "n", "fused", "text_raw", "parts", F.col("token_count").alias("unit_tokens"),
-        F.posexplode(F.sequence(F.col("head"), F.col("head") + F.col("n") - 1)).alias("at", "sentence_index"),
-    )
-    own = spine.select("doc_id", "lang", "sentence_index", "start", "end", "paragraph_index", "token_count")
-    m = member.join(own, ["doc_id", "sentence_index"])
+    unit = ["doc_id", "head", "n", "fused", "text_raw", "parts", F.col("token_count").alias("unit_tokens")]
+    if "members" in raw.columns:
+        m = r.select(*unit, "lang", F.posexplode("members").alias("at", "_m")).select("*", "_m.*").drop("_m")
+    else:
+        at = F.posexplode(F.sequence(F.col("head"), F.col("head") + F.col("n") - 1)).alias("at", "sentence_index")
+        m = r.select(*unit, at).join(spine.select("doc_id", "lang", *MEMBER), ["doc_id", "sentence_index"])
     text = F.when(
         F.col("n") == 1, F.when(F.col("lang") == "en", F.col("text_raw")).otherwise(scrub_markers(F.col("text_raw")))
     ).otherwise(F.when(F.col("fused"), scrub_markers(F.col("text_raw"))).otherwise(F.try_element_at("parts", F.col("at") + 1)))
     m = m.withColumn("text", text).withColumn("slot", F.when(F.col("fused"), F.col("head")).otherwise(F.col("sentence_index")))
-    final = m.groupBy("doc_id", "lang", "slot").agg(
+    # Numbered before the slots are gathered: final sentences and remap share the partitioning.
+    order = W.partitionBy("doc_id").orderBy("slot")
+    m = m.withColumn("final_index", F.dense_rank().over(order) - 1)
+    final = m.groupBy("doc_id", "lang", "slot", "final_index").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.min_by("paragraph_index", "sentence_index").alias("paragraph_index"),
@@ -66,12 +79,7 @@ def reconcile(raw: DataFrame, spine: DataFrame, min_segment_chars: int = 1) -> t
         F.first("text").alias("text"),
         F.first("fused").alias("fused"),
     )
-    order = W.partitionBy("doc_id").orderBy("slot")
-    final = final.withColumn("final_index", F.row_number().over(order) - 1)
-    remap = m.select("doc_id", "sentence_index", "slot", "fused").join(
-        final.select("doc_id", "slot", "final_index"), ["doc_id", "slot"]
-    )
-    remap = remap.select(
+    remap = m.select(
         "doc_id",
         mint(F.col("doc_id"), "s", F.col("sentence_index")).alias("sentence_id"),
         mint(F.col("doc_id"), "s", F.col("final_index")).alias("final_sentence_id"),

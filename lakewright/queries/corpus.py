@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakewright.functions import text as T
 from lakewright.operators import acceptance, boilerplate, folds, ordered, segment, translation
+from lakewright.plans.checkpoints import cut
 from lakewright.plans.grouped import fold_groups
 from lakewright.queries.tables import documents, lines, read
 
@@ -156,7 +157,7 @@ def _reconciled(spark: SparkSession, sf_dir: str):
 )
 def translation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _reconciled(spark, sf_dir)[0]
-    return raw.withColumn("raw_md5", F.md5(F.col("text_raw").cast("binary"))).drop("text_raw")
+    return raw.withColumn("raw_md5", F.md5(F.col("text_raw").cast("binary"))).drop("text_raw", "members")
 
 
 @_query(
@@ -244,8 +245,9 @@ FROM pas p JOIN final f ON f.doc_id = p.doc_id AND f.final_index BETWEEN p.first
 GROUP BY p.doc_id, p.k, p.lang""",
 )
 def render_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final sentences are written once: passages and renderings both read them."""
     paras = _spine(spark, sf_dir)[0]
-    final = _reconciled(spark, sf_dir)[2]
+    final = cut(_reconciled(spark, sf_dir)[2])
     own = final.select("doc_id", F.col("final_index").alias("sentence_index"), "lang", "start", "end", F.col("text").alias("translation"))
     out = translation.render_passages(_threes(final), own, paras)
     return out.select(

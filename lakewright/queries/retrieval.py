@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.operators import acceptance, agreement, fusion, legs
+from lakewright.functions import encode
+from lakewright.operators import acceptance, agreement, fusion, legs, retrieve
 from lakewright.queries.tables import documents, read
 
 QUERIES: dict = {}
@@ -83,10 +84,6 @@ def pool_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pools(spark, sf_dir, 10).select("query_id", "pool", "id", "score", "rank")
 
 
-def _words(c: str = "text"):
-    return F.filter(F.split(F.lower(c), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-
-
 _TERMS = """words AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+')) AS term FROM documents),
 post AS (SELECT id, term, ln(1 + count(*)) AS weight FROM words WHERE term <> '' GROUP BY id, term),
 qwords AS (SELECT item_id AS id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+')) AS term FROM benchmark),
@@ -95,16 +92,25 @@ _SPARSE = """sparse AS (SELECT query_id, id, round(sum(wq * weight), 6) AS score
 sparse_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sparse)"""
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return legs.postings(items, _words()), legs.postings(docs, _words())
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumnRenamed("doc_id", "id")
+
+
+def _postings(spark: SparkSession, sf_dir: str, *, asked: bool) -> tuple[DataFrame, DataFrame]:
+    """Postings of items and of documents, the latter of the items' words only where ``asked``."""
+    words = retrieve.words_of(F.col("text"))
+    items = legs.postings(_items(spark, sf_dir).withColumnRenamed("query_id", "id"), words)
+    return items, legs.postings(_texts(spark, sf_dir), words, items if asked else None)
 
 
 @_query("sparse_topk", f"WITH {_TERMS}, {_SPARSE} SELECT query_id, id, score, rank FROM sparse_ranked WHERE rank <= 20")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, p = _postings(spark, sf_dir)
-    return legs.sparse_top_k(q, p, 20)
+    words = retrieve.words_of(F.col("text")).alias("words")
+    return legs.lexical_top_k(_items(spark, sf_dir).select("query_id", words), _texts(spark, sf_dir).select("id", words), 20)
 
 
 _PRUNED = f"""{_TERMS}, pruned AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS r FROM post) WHERE r <= 100)"""
@@ -115,7 +121,7 @@ _PRUNED = f"""{_TERMS}, pruned AS (SELECT * FROM (SELECT *, row_number() OVER (P
     f"WITH {_PRUNED}, {_SPARSE.replace('JOIN post', 'JOIN pruned')} SELECT query_id, id, score, rank FROM sparse_ranked WHERE rank <= 20",
 )
 def sparse_prune_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, p = _postings(spark, sf_dir)
+    q, p = _postings(spark, sf_dir, asked=False)
     return legs.sparse_top_k(q, legs.prune_postings(p, 100), 20)
 
 
@@ -126,8 +132,7 @@ SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PAR
 )
 def max_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten documents of consecutive ids stand for the passages of one."""
-    q, p = _postings(spark, sf_dir)
-    s = legs.sparse_top_k(q, p, 2**31 - 1)
+    s = legs.sparse_scores(*_postings(spark, sf_dir, asked=True))
     best = fusion.max_passage(s, F.floor(F.col("id") / 10).cast("long"))
     return legs.top_k(best, 10, ["query_id"], id_="doc_id")
 
@@ -143,35 +148,49 @@ SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITI
 def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten vectors of consecutive ids stand for the token vectors of one document."""
     v = _vectors(spark, sf_dir).withColumn("id", F.floor(F.col("id") / 10).cast("long"))
-    asked = v.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
-    return legs.max_sim_top_k(asked, v, 10)
-
-
-_HYBRID = f"""{_TERMS}, {_SPARSE},
-lex AS (SELECT query_id, id, length(b.text) - abs(length(b.text) - length(d.text)) AS s FROM sparse JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = id),
-second AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM lex),
-pools AS (SELECT query_id, id, 0 AS pool, rank FROM sparse_ranked WHERE rank <= 100 UNION ALL SELECT query_id, id, 1, rank FROM second WHERE rank <= 100),
+    tokens = v.groupBy("id").agg(F.flatten(F.collect_list("vector")).alias("vectors"))
+    asked = tokens.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "vectors")
+    return legs.max_sim_top_k(asked, tokens, 10, 64)
+
+
+_HYBRID = f"""{_TERMS},
+dt AS (SELECT id, coalesce(lang, '-') AS lang, term, count(*) AS c FROM words JOIN documents ON doc_id = id WHERE term <> '' GROUP BY ALL),
+qt AS (SELECT id AS query_id, term, count(*) AS c FROM qwords WHERE term <> '' GROUP BY ALL),
+vocab AS (SELECT term, list_transform(range(1, {encode.DIM + 1}), lambda j: instr('0123456789abcdef', substr(md5(term), CAST(j AS INTEGER), 1)) - 8.5::DOUBLE) AS raw
+  FROM (SELECT term FROM dt UNION SELECT term FROM qt)),
+unit AS (SELECT term, list_transform(raw, lambda x: x / sqrt(list_inner_product(raw, raw))) AS v FROM vocab),
+dsum AS (SELECT id, lang, list(x ORDER BY j) AS v FROM (SELECT id, lang, j, sum(c * raw[j]) AS x FROM dt JOIN vocab USING (term), range(1, {encode.DIM + 1}) t(j) GROUP BY ALL) GROUP BY ALL),
+qsum AS (SELECT query_id, list(x ORDER BY j) AS v FROM (SELECT query_id, j, sum(c * raw[j]) AS x FROM qt JOIN vocab USING (term), range(1, {encode.DIM + 1}) t(j) GROUP BY ALL) GROUP BY ALL),
+dense AS (SELECT query_id, id, lang, round(list_inner_product(q.v, d.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(d.v, d.v)), 9) AS score FROM qsum q, dsum d),
+near AS (SELECT a.term AS qterm, b.term, round(list_inner_product(a.v, b.v), 9) AS s FROM unit a, unit b WHERE a.term IN (SELECT term FROM qt) AND b.term IN (SELECT term FROM dt)),
+best AS (SELECT qterm, id, lang, max(s) AS s FROM near JOIN dt USING (term) GROUP BY ALL),
+late AS (SELECT query_id, id, lang, round(sum(c * s), 6) AS score FROM qt JOIN best ON qterm = qt.term GROUP BY ALL),
+sparse AS (SELECT query_id, id, lang, round(sum(ln(1 + qt.c) * ln(1 + dt.c)), 6) AS score FROM qt JOIN dt USING (term) GROUP BY ALL),
+hits AS (SELECT 'dense' AS leg, * FROM dense UNION ALL SELECT 'late', * FROM late UNION ALL SELECT 'sparse', * FROM sparse),
+pools AS (SELECT * FROM (SELECT *, leg || '/' || lang AS pool, CAST(row_number() OVER (PARTITION BY query_id, leg, lang ORDER BY score DESC, id) AS INTEGER) AS rank FROM hits) WHERE rank <= 20),
 summed AS (SELECT query_id, id, list_reduce(list_prepend(0.0::DOUBLE, list(1.0::DOUBLE / (60 + rank) ORDER BY pool)), lambda a, b: a + b) AS score FROM pools GROUP BY query_id, id),
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM summed)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse leg and a length leg over what it scored, fused."""
-    q, p = _postings(spark, sf_dir)
-    sparse = legs.sparse_top_k(q, p, 2**31 - 1)
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("dn"))
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("qn"))
-    near = sparse.join(items, "query_id").join(docs, "id").select(
-        "query_id", "id", (F.col("qn") - F.abs(F.col("qn") - F.col("dn"))).alias("score")
-    )
-    a = sparse.filter("rank <= 100").select("query_id", "id", F.lit(0).alias("pool"), "rank")
-    b = legs.top_k(near, 100, ["query_id"]).select("query_id", "id", F.lit(1).alias("pool"), "rank")
-    return fusion.rrf(a.unionByName(b))
+@_query("hybrid_pools", f"WITH {_HYBRID} SELECT query_id, pool, id, round(score, 6) AS score, rank FROM pools")
+def hybrid_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = retrieve.pools(_items(spark, sf_dir), _texts(spark, sf_dir), 20)
+    return p.select("query_id", "pool", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(
+    "leg_diagnostics",
+    f"WITH {_HYBRID} SELECT query_id, leg, count(*) AS hits, count(DISTINCT lang) AS languages, round(max(score), 6) AS best FROM pools GROUP BY ALL",
+)
+def leg_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = retrieve.pools(_items(spark, sf_dir), _texts(spark, sf_dir), 20)
+    return retrieve.leg_diagnostics(p).withColumn("best", F.round("best", 6))
 
 
 @_query("hybrid_retrieve", f"WITH {_HYBRID} SELECT query_id, id, round(score, 9) AS score, rank FROM fused WHERE rank <= 20")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).filter("rank <= 20").withColumn("score", F.round("score", 9))
+    rows = retrieve.fused(_items(spark, sf_dir), _texts(spark, sf_dir), top_k=20, rerank_depth=10)
+    return rows.filter("rank <= 20").withColumn("score", F.round("score", 9))
 
 
 @_query(
@@ -185,14 +204,7 @@ SELECT query_id, id, round(coalesce(re, score), 9) AS score,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY re IS NULL, re DESC, CASE WHEN re IS NOT NULL THEN id END, place) AS INTEGER) AS rank FROM both_""",
 )
 def rerank_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), _words().alias("dw"))
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _words().alias("qw"))
-
-    def score(head: DataFrame) -> DataFrame:
-        s = fusion.overlap_score(F.col("qw"), F.col("dw"))
-        return head.join(docs, "id").join(items, "query_id").withColumn("rerank", F.round(s, 9))
-
-    out = fusion.rerank_head(_fused(spark, sf_dir), score, depth=10, top_k=20)
+    out = retrieve.retrieve(_items(spark, sf_dir), _texts(spark, sf_dir), top_k=20, rerank_depth=10)
     return out.withColumn("score", F.round("score", 9))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakewright.operators import agreement, fusion, graph, integrity, legs, ordered, rounds
+from lakewright.operators import agreement, fusion, graph, integrity, legs, ordered, retrieve, rounds
 
 
 def test_dense_ties_go_to_the_smaller_id_over_partitions(spark):
@@ -21,13 +21,41 @@ def test_dense_ties_go_to_the_smaller_id_over_partitions(spark):
 def test_max_sim(spark):
     r = np.random.default_rng(0)
     v = r.standard_normal((30, 4))
-    docs = spark.createDataFrame([(i // 3, v[i].tolist()) for i in range(30)], "id long, vector array<double>")
-    q = spark.createDataFrame([(7, v[0].tolist()), (7, v[5].tolist())], "query_id long, vector array<double>")
-    got = {x["id"]: x["score"] for x in legs.max_sim_top_k(q, docs, 10).collect()}
+    flat = lambda at: v[at].ravel().tolist()
+    rows = [(d, flat(range(3 * d, 3 * d + 3))) for d in range(10)] + [(10, []), (11, None)]
+    docs = spark.createDataFrame(rows, "id long, vectors array<double>")
+    q = spark.createDataFrame([(7, flat([0, 5])), (8, flat([1])), (9, [])], "query_id long, vectors array<double>")
+    every = legs.max_sim_top_k(q, docs, 20, 4).collect()
+    assert {x["query_id"] for x in every} == {7, 8} and {x["id"] for x in every} == set(range(10))
+    got = {x["id"]: x["score"] for x in every if x["query_id"] == 7}
     for d in range(10):
         assert got[d] == pytest.approx(sum(max(v[k] @ v[j] for j in range(3 * d, 3 * d + 3)) for k in (0, 5)), abs=1e-5)
 
 
+def test_lexical_leg_equals_the_postings_join(spark):
+    texts = ["a b a c", "b b", "", None, "d e f a", "c c c b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = retrieve.words_of(F.col("text"))
+    q = spark.createDataFrame([(0, "A b"), (1, "c"), (2, "zz"), (3, None)], "id long, text string")
+    post = legs.sparse_top_k(legs.postings(q, words), legs.postings(docs, words, legs.postings(q, words)), 3)
+    got = legs.lexical_top_k(q.select(F.col("id").alias("query_id"), words.alias("words")), docs.select("id", words.alias("words")), 3)
+    key = lambda df: sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in df.collect())
+    assert key(got) == key(post) and {r[0] for r in key(got)} == {0, 1}
+
+
+def test_retrieve_takes_every_language_and_no_empty_text(spark):
+    rows = [(1, "en", "red fox runs"), (2, "de", "fuchs läuft"), (3, None, "red fox"), (4, "en", ""), (5, "de", None)]
+    docs = spark.createDataFrame(rows, "id long, lang string, text string")
+    q = spark.createDataFrame([(1, "red fox"), (2, "")], "query_id long, text string")
+    p = retrieve.pools(q, docs, 5)
+    assert {(r["pool"], r["id"]) for r in p.collect()} == {
+        (f"{leg}/{lang}", i) for leg in ("dense", "late") for lang, i in (("en", 1), ("de", 2), ("-", 3))
+    } | {("sparse/en", 1), ("sparse/-", 3)}
+    out = retrieve.retrieve(q, docs, top_k=3, rerank_depth=2).orderBy("rank").collect()
+    assert [r["id"] for r in out] == [1, 3, 2] and {r["query_id"] for r in out} == {1}
+    assert retrieve.retrieve(q, docs.filter("false")).count() == 0 and retrieve.retrieve(q.filter("false"), docs).count() == 0
+
+
 def test_rrf_and_rerank(spark):
     pools = spark.createDataFrame([(1, 0, "a", 1), (1, 0, "b", 2), (1, 1, "b", 1), (1, 1, "c", 2)], "query_id int, pool int, id string, rank int")
     fused = fusion.rrf(pools)
