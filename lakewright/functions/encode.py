@@ -28,8 +28,7 @@ def dense_vector(words: Column) -> Column:
             if text is None or not len(text):
                 return None
             v = np.sum([word_vector(w) for w in text], axis=0)
-            norm = np.sqrt(v @ v)
-            return v / norm if norm else None
+            return v / (np.sqrt(v @ v) or 1.0)
 
         return texts.map(one)
 

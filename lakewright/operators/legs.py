@@ -45,6 +45,10 @@ def _matrix(vectors) -> np.ndarray:
     return np.array(list(vectors), dtype=np.float64)
 
 
+def _some(values) -> bool:
+    return values is not None and len(values) > 0
+
+
 def _result(docs: DataFrame, cell: str | None) -> str:
     return "query_id long, " + (f"`{cell}` {dict(docs.dtypes)[cell]}, " if cell else "") + "id long, score double"
 
@@ -122,7 +126,8 @@ def max_sim_top_k(queries: DataFrame, docs: DataFrame, k: int, dim: int, *, cell
     """
 
     def scorers():
-        for block in _blocks(queries.filter(F.size("vectors") > 0), "query_id", ["vectors"], TOKEN_BLOCK):
+        for block in _blocks(queries, "query_id", ["vectors"], TOKEN_BLOCK):
+            block = block[block["vectors"].map(_some)]
             tokens = _matrix(np.concatenate(list(block["vectors"]))).reshape(-1, dim) if len(block) else np.empty((0, dim))
             sizes = np.array([len(v) // dim for v in block["vectors"]], dtype=np.int64)
             begins = np.cumsum(sizes) - sizes
@@ -130,7 +135,7 @@ def max_sim_top_k(queries: DataFrame, docs: DataFrame, k: int, dim: int, *, cell
             tokens, place = np.unique(tokens, axis=0, return_inverse=True)
 
             def score(pdf, tokens=tokens, begins=begins, place=place.ravel()):
-                pdf = pdf[pdf["vectors"].map(len) > 0]
+                pdf = pdf[pdf["vectors"].map(_some)]
                 if not len(pdf) or not len(tokens):
                     return
                 best = np.empty((len(begins), len(pdf)))
@@ -141,7 +146,7 @@ def max_sim_top_k(queries: DataFrame, docs: DataFrame, k: int, dim: int, *, cell
 
             yield block["query_id"].to_numpy(), score
 
-    return _over_blocks(docs.filter(F.size("vectors") > 0), ["vectors"], scorers(), k, cell)
+    return _over_blocks(docs, ["vectors"], scorers(), k, cell)
 
 
 def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, *, cell: str | None = None) -> DataFrame:

@@ -30,8 +30,9 @@ def pools(queries: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
     seen = encode.token_vectors(F.array_distinct("words"))
     hits = {
         "dense": legs.dense_top_k(
-            q.select("query_id", vector.alias("vector")).filter("vector is not null"),
-            d.select("id", "lang", vector.alias("vector")).filter("vector is not null"),
+            # Texts without a word go before they are encoded: a filter on the encoder's result would run it twice.
+            q.filter(F.size("words") > 0).select("query_id", vector.alias("vector")),
+            d.filter(F.size("words") > 0).select("id", "lang", vector.alias("vector")),
             depth, cell="lang",
         ),
         "late": legs.max_sim_top_k(
