@@ -142,7 +142,7 @@ def max_sim_top_k(queries: DataFrame, docs: DataFrame, k: int, dim: int, *, cell
                 for at, v in enumerate(pdf["vectors"]):
                     s = np.round((np.asarray(v).reshape(-1, dim) @ tokens.T).max(axis=0), DIGITS)
                     best[:, at] = np.add.reduceat(s[place], begins)
-                yield pdf, np.round(best, 6)
+                yield pdf, np.round(best, DIGITS)
 
             yield block["query_id"].to_numpy(), score
 

@@ -142,7 +142,7 @@ def max_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH tok AS (SELECT vec_id // 10 AS id, vec_id, embedding FROM embeddings),
 best AS (SELECT q.id AS query_id, q.vec_id, d.id, max(round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9)) AS s
   FROM tok q JOIN tok d ON q.id % 10 = 0 GROUP BY q.id, q.vec_id, d.id),
-summed AS (SELECT query_id, id, round(sum(s), 6) AS score FROM best GROUP BY query_id, id)
+summed AS (SELECT query_id, id, round(sum(s), 9) AS score FROM best GROUP BY query_id, id)
 SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM summed) WHERE rank <= 10""",
 )
 def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,7 @@ qsum AS (SELECT query_id, list(x ORDER BY j) AS v FROM (SELECT query_id, j, sum(
 dense AS (SELECT query_id, id, lang, round(list_inner_product(q.v, d.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(d.v, d.v)), 9) AS score FROM qsum q, dsum d),
 near AS (SELECT a.term AS qterm, b.term, round(list_inner_product(a.v, b.v), 9) AS s FROM unit a, unit b WHERE a.term IN (SELECT term FROM qt) AND b.term IN (SELECT term FROM dt)),
 best AS (SELECT qterm, id, lang, max(s) AS s FROM near JOIN dt USING (term) GROUP BY ALL),
-late AS (SELECT query_id, id, lang, round(sum(c * s), 6) AS score FROM qt JOIN best ON qterm = qt.term GROUP BY ALL),
+late AS (SELECT query_id, id, lang, round(sum(c * s), 9) AS score FROM qt JOIN best ON qterm = qt.term GROUP BY ALL),
 sparse AS (SELECT query_id, id, lang, round(sum(ln(1 + qt.c) * ln(1 + dt.c)), 6) AS score FROM qt JOIN dt USING (term) GROUP BY ALL),
 hits AS (SELECT 'dense' AS leg, * FROM dense UNION ALL SELECT 'late', * FROM late UNION ALL SELECT 'sparse', * FROM sparse),
 pools AS (SELECT * FROM (SELECT *, leg || '/' || lang AS pool, CAST(row_number() OVER (PARTITION BY query_id, leg, lang ORDER BY score DESC, id) AS INTEGER) AS rank FROM hits) WHERE rank <= 20),
@@ -172,19 +172,18 @@ summed AS (SELECT query_id, id, list_reduce(list_prepend(0.0::DOUBLE, list(1.0::
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM summed)"""
 
 
-@_query("hybrid_pools", f"WITH {_HYBRID} SELECT query_id, pool, id, round(score, 6) AS score, rank FROM pools")
+@_query("hybrid_pools", f"WITH {_HYBRID} SELECT query_id, pool, id, score, rank FROM pools")
 def hybrid_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = retrieve.pools(_items(spark, sf_dir), _texts(spark, sf_dir), 20)
-    return p.select("query_id", "pool", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieve.pools(_items(spark, sf_dir), _texts(spark, sf_dir), 20).select("query_id", "pool", "id", "score", "rank")
 
 
 @_query(
     "leg_diagnostics",
-    f"WITH {_HYBRID} SELECT query_id, leg, count(*) AS hits, count(DISTINCT lang) AS languages, round(max(score), 6) AS best FROM pools GROUP BY ALL",
+    f"WITH {_HYBRID} SELECT query_id, leg, count(*) AS hits, count(DISTINCT lang) AS languages, max(score) AS best FROM pools GROUP BY ALL",
 )
 def leg_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = retrieve.pools(_items(spark, sf_dir), _texts(spark, sf_dir), 20)
-    return retrieve.leg_diagnostics(p).withColumn("best", F.round("best", 6))
+    return retrieve.leg_diagnostics(p)
 
 
 @_query("hybrid_retrieve", f"WITH {_HYBRID} SELECT query_id, id, round(score, 9) AS score, rank FROM fused WHERE rank <= 20")
