@@ -257,9 +257,12 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.hash_sample(read(spark, sf_dir, "events"), ["event_type"], "event_id", 20, "s1").select("event_type", "event_id")
 
 
-@_query("finite_check", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS bad FROM events")
+@_query("finite_check", "SELECT count(*) AS n, count(*) FILTER (event_id % 10 < 3) AS bad FROM events")
 def finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    """Values made not a number or infinite by the remainder of their event."""
+    kind, lit = F.col("event_id") % 10, lambda x: F.lit(float(x))
+    broken = F.when(kind == 0, lit("nan")).when(kind == 1, lit("inf")).when(kind == 2, lit("-inf")).otherwise(F.col("value"))
+    e = read(spark, sf_dir, "events").withColumn("value", broken)
     bad = integrity.finite_violations(e, ["value"]).agg(F.count(F.lit(1)).alias("bad"))
     return e.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(bad))
 

@@ -109,12 +109,18 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "span_violations",
-    f"""WITH {_SPINE} SELECT count(*) AS sentences, CAST(0 AS BIGINT) AS violations FROM spine""",
+    f"""WITH {_SPINE}
+SELECT doc_id, sentence_index, CASE doc_id % 4 WHEN 0 THEN 'index not dense' WHEN 1 THEN 'text is not the slice' WHEN 2 THEN 'spans overlap' ELSE 'no document' END AS violation
+FROM spine WHERE CASE doc_id % 4 WHEN 0 THEN sentence_index > 2 WHEN 3 THEN true ELSE sentence_index = 1 END""",
 )
 def span_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans damaged by the remainder of their document: one lost, one text changed, one moved, or no text to cut."""
     paras, spine = _spine(spark, sf_dir)
-    bad = segment.span_violations(spine, paras).agg(F.count(F.lit(1)).alias("violations"))
-    return spine.agg(F.count(F.lit(1)).alias("sentences")).join(F.broadcast(bad))
+    kind, second = F.col("doc_id") % 4, F.col("sentence_index") == 1
+    bad = spine.filter(~((kind == 0) & (F.col("sentence_index") == 2)))
+    bad = bad.withColumn("sentence", F.when((kind == 1) & second, F.concat("sentence", F.lit("x"))).otherwise(F.col("sentence")))
+    bad = bad.withColumn("start", F.when((kind == 2) & second, F.lit(0)).otherwise(F.col("start")))
+    return segment.span_violations(bad, paras.filter(kind != 3))
 
 
 def _fake_translation(joined):
@@ -192,12 +198,16 @@ def reconcile_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "reconcile_violations",
-    f"""WITH {_UNITS} SELECT count(*) AS finals, CAST(0 AS BIGINT) AS violations FROM final""",
+    f"""WITH {_UNITS} SELECT doc_id, 'units do not tile' AS violation, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT doc_id FROM spine) WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'marker in text', count(*) FROM final WHERE doc_id % 3 = 1 AND lang <> 'en' GROUP BY doc_id""",
 )
 def reconcile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage by the remainder of the document: its first unit lost, or a marker left in every text."""
     raw, spine, final, _ = _reconciled(spark, sf_dir)
-    bad = translation.reconcile_violations(final, raw, spine).agg(F.count(F.lit(1)).alias("violations"))
-    return final.agg(F.count(F.lit(1)).alias("finals")).join(F.broadcast(bad))
+    kind = F.col("doc_id") % 3
+    raw = raw.filter(~((kind == 0) & (F.col("head") == 0)))
+    final = final.withColumn("text", F.when(kind == 1, F.concat("text", F.lit(T.MARKER))).otherwise(F.col("text")))
+    return translation.reconcile_violations(final, raw, spine).groupBy("doc_id", "violation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(
@@ -276,23 +286,61 @@ def units_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.merge_units(spine, paras, min_tokens=16, cap=76.8)
 
 
-@_query("passages_packed")
+_PACKED = f"""{_SPINE},
+doc_ AS (SELECT doc_id, any_value(lang) AS lang, list(token_count ORDER BY sentence_index) AS counts, list(paragraph_index ORDER BY sentence_index) AS paras, count(*) AS n FROM spine GROUP BY doc_id),
+ready AS (SELECT *, list_prepend(0, list_transform(range(1, n + 1), lambda k: CAST(list_sum(counts[1:k]) AS BIGINT))) AS total,
+  list_filter(range(0, n), lambda k: counts[k + 1] > 128) AS large, list_filter(range(1, n), lambda k: paras[k + 1] <> paras[k]) AS turns FROM doc_),
+walk AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS lo, 0::BIGINT AS fresh, NULL::BIGINT AS first, NULL::BIGINT AS last FROM ready UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN big THEN fresh + 1
+      WHEN stop < n AND counts[stop] <= 128 - counts[stop + 1]
+        THEN greatest(lo, least(stop - 1, len(list_filter(total, lambda x: x < total[stop + 1] - least(19.2, 128 - counts[stop + 1])))))
+      ELSE stop END,
+    CASE WHEN big THEN fresh + 1 ELSE stop END, CASE WHEN big THEN fresh ELSE lo END, CASE WHEN big THEN fresh ELSE stop - 1 END
+  FROM (SELECT *, counts[fresh + 1] > 128 AS big,
+      least(len(list_filter(total, lambda x: x <= total[lo + 1] + 128)) - 1,
+        coalesce(list_filter(large, lambda x: x >= fresh)[1], n),
+        coalesce(list_filter(turns, lambda x: x >= greatest(fresh + 1, len(list_filter(total, lambda y: y < total[lo + 1] + 76.8))))[1], n)) AS stop
+    FROM walk JOIN ready USING (doc_id) WHERE fresh < n)),
+packed AS (SELECT doc_id || '#p' || (k - 1) AS passage_id, doc_id, lang, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last,
+  CAST(total[last + 2] - total[first + 1] AS INTEGER) AS token_count, first = last AND counts[first + 1] > 128 AS is_oversized
+  FROM walk JOIN ready USING (doc_id) WHERE k > 0)"""
+
+
+@_query("passages_packed", f"WITH RECURSIVE {_PACKED} SELECT * FROM packed")
 def passages_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.pack_passages(_spine(spark, sf_dir)[1], budget=128, overlap=0.15, min_fill=0.6)
 
 
 @_query(
     "passage_violations",
-    f"""WITH {_SPINE} SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS violations FROM spine""",
+    f"""WITH RECURSIVE {_PACKED},
+kept AS (SELECT * FROM packed WHERE NOT (doc_id % 3 = 1 AND passage_id LIKE '%#p0')),
+covered AS (SELECT doc_id, unnest(range(first, last + 1)) AS sentence_index FROM kept)
+SELECT passage_id AS id, 'token sum' AS violation FROM kept WHERE doc_id % 3 = 0
+UNION ALL SELECT passage_id, 'orphan member' FROM kept k WHERE doc_id % 3 = 2 AND last + 1 = (SELECT count(*) FROM spine s WHERE s.doc_id = k.doc_id)
+UNION ALL SELECT s.doc_id || '#s' || s.sentence_index, 'not in a passage' FROM spine s ANTI JOIN covered c ON c.doc_id = s.doc_id AND c.sentence_index = s.sentence_index""",
 )
 def passage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages damaged by the remainder of their document: a wrong count, the first one lost, one sentence too many."""
     spine = _spine(spark, sf_dir)[1]
-    passages = folds.pack_passages(spine, budget=128, overlap=0.15, min_fill=0.6)
-    bad = folds.passage_violations(passages, spine, 128).agg(F.count(F.lit(1)).alias("violations"))
-    return passages.agg(F.count_distinct("doc_id").alias("documents")).join(F.broadcast(bad))
+    kind = F.col("doc_id") % 3
+    p = folds.pack_passages(spine, budget=128, overlap=0.15, min_fill=0.6).filter(~((kind == 1) & F.col("passage_id").endswith("#p0")))
+    end = spine.groupBy("doc_id").agg((F.count(F.lit(1)) - 1).alias("_end"))
+    p = p.join(end, "doc_id").withColumn("token_count", F.when(kind == 0, F.col("token_count") + 1).otherwise(F.col("token_count")))
+    p = p.withColumn("last", F.when((kind == 2) & (F.col("last") == F.col("_end")), F.col("last") + 1).otherwise(F.col("last")))
+    return folds.passage_violations(p, spine, 128)
 
 
-@_query("length_buckets")
+@_query(
+    "length_buckets",
+    f"""WITH RECURSIVE {_SPINE},
+o AS (SELECT doc_id, sentence_index AS id, token_count AS n, row_number() OVER (PARTITION BY doc_id ORDER BY token_count, sentence_index) AS i FROM spine),
+f AS (SELECT doc_id, id, n, i, 0 AS batch, n AS used, 1 AS members FROM o WHERE i = 1 UNION ALL
+  SELECT o.doc_id, o.id, o.n, o.i, batch + (full_::INT), CASE WHEN full_ THEN o.n ELSE used + o.n END, CASE WHEN full_ THEN 1 ELSE members + 1 END
+  FROM (SELECT f.doc_id, f.i AS at, batch, used, members, used + p.n > 64 OR members = 8 AS full_ FROM f JOIN o p ON p.doc_id = f.doc_id AND p.i = f.i + 1) f
+  JOIN o ON o.doc_id = f.doc_id AND o.i = f.at + 1)
+SELECT doc_id, id, n, batch FROM f""",
+)
 def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _spine(spark, sf_dir)[1]
     items = s.select("doc_id", F.col("sentence_index").alias("id"), F.col("token_count").alias("n"))
@@ -338,7 +386,15 @@ def part_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.parts(d, ["lang"], ["n", "doc_id"], 64).drop("n")
 
 
-@_query("shard_cuts")
+@_query(
+    "shard_cuts",
+    """WITH RECURSIVE o AS (SELECT lang, doc_id, CAST(strlen(text) AS INTEGER) AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT lang, doc_id, size, i, 0 AS shard, size AS used FROM o WHERE i = 1 UNION ALL
+  SELECT o.lang, o.doc_id, o.size, o.i, CASE WHEN used > 0 AND used + o.size > 200000 THEN shard + 1 ELSE shard END,
+    CASE WHEN used > 0 AND used + o.size > 200000 THEN o.size ELSE used + o.size END
+  FROM f JOIN o ON o.lang = f.lang AND o.i = f.i + 1)
+SELECT lang, doc_id, size, shard FROM f""",
+)
 def shard_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each language cut into shards of at most 200,000 bytes, in order of doc_id."""
     d = documents(spark, sf_dir).select("lang", "doc_id", F.octet_length("text").alias("size"))

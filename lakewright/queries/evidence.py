@@ -163,11 +163,22 @@ def tie_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coarse(spark, sf_dir).withColumn("score", F.round("score", 9))
 
 
-@_query("run_violations", f"WITH {_SUPPORT}, {_TIES} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations FROM spread")
+@_query(
+    "run_violations",
+    f"""WITH {_SUPPORT}, {_TIES}, s AS (SELECT topic_id, CAST(rank AS INTEGER) AS rank, count(*) OVER (PARTITION BY topic_id) AS n FROM spread)
+SELECT topic_id, rank, 'no document' AS violation FROM s WHERE topic_id % 4 = 0 AND rank = 1
+UNION ALL SELECT topic_id, CAST(rank + 1 AS INTEGER), 'rank is not the place' FROM s WHERE topic_id % 4 = 1
+UNION ALL SELECT topic_id, rank, 'score does not fall' FROM s WHERE topic_id % 4 = 2 AND rank > 1
+UNION ALL SELECT topic_id, rank, 'document repeats' FROM s WHERE topic_id % 4 = 3 AND rank <= 2 AND n > 1""",
+)
 def run_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _coarse(spark, sf_dir)
-    bad = evidence.run_violations(run).agg(F.count(F.lit(1)).alias("violations"))
-    return run.agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(bad))
+    """Runs damaged by the remainder of their topic: no document, ranks moved, scores turned round, a document twice."""
+    kind, first = F.col("topic_id") % 4, F.col("rank")
+    doc = F.when((kind == 0) & (first == 1), None).when((kind == 3) & (first <= 2), F.lit(0)).otherwise(F.col("doc_id"))
+    run = _coarse(spark, sf_dir).withColumn("doc_id", doc)
+    run = run.withColumn("score", F.when(kind == 2, -F.col("score")).otherwise(F.col("score")))
+    run = run.withColumn("rank", F.when(kind == 1, first + 1).otherwise(first))
+    return evidence.run_violations(run)
 
 
 @_query("trec_rows", f"WITH {_SUPPORT} SELECT topic_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.9f', total) || ' run' AS line FROM ranked")
@@ -222,7 +233,22 @@ def k_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.k_band(b.unionByName(d), bands)
 
 
-@_query("task1_reports")
+@_query(
+    "task1_reports",
+    f"""WITH RECURSIVE {EVIDENCE},
+a AS (SELECT nugget_id, answer_index, max(score) AS score, 'Part ' || min(doc_id) || ' came back as ' || min(flag) || '.' AS sentence, list_sort(list(DISTINCT doc_id)) AS docs FROM answers GROUP BY ALL),
+j AS (SELECT topic_id, weight, a.*, row_number() OVER (PARTITION BY a.nugget_id ORDER BY score DESC, answer_index) = 1 AS best FROM a JOIN nuggets USING (nugget_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY NOT best, CASE WHEN best THEN -weight ELSE -(weight * score) END, nugget_id, answer_index) AS i FROM j),
+f AS (SELECT topic_id, 0::BIGINT AS i, 0::BIGINT AS used, []::VARCHAR[] AS said FROM (SELECT DISTINCT topic_id FROM o) UNION ALL
+  SELECT topic_id, i, CASE WHEN taken THEN used + cost ELSE used END, CASE WHEN taken THEN list_append(said, sentence) ELSE said END
+  FROM (SELECT f.topic_id, o.i, f.used, f.said, o.sentence, length(o.sentence) + (len(f.said) > 0)::INT AS cost,
+      NOT list_contains(f.said, o.sentence) AND f.used + length(o.sentence) + (len(f.said) > 0)::INT <= 600 AS taken
+    FROM f JOIN o ON o.topic_id = f.topic_id AND o.i = f.i + 1)),
+report AS (SELECT topic_id, arg_max(said, i) AS said FROM f GROUP BY topic_id),
+line AS (SELECT topic_id, CAST(k - 1 AS INTEGER) AS position, said[k] AS sentence FROM (SELECT *, unnest(range(1, len(said) + 1)) AS k FROM report)),
+docs AS (SELECT topic_id, sentence, list_sort(list(DISTINCT d)) AS docs FROM (SELECT topic_id, sentence, unnest(docs) AS d FROM j) GROUP BY ALL)
+SELECT topic_id, position, sentence, array_to_string(docs, ',') AS docs FROM line JOIN docs USING (topic_id, sentence)""",
+)
 def task1_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report of at most 600 characters per customer."""
     a = answers(spark, sf_dir).groupBy("nugget_id", "answer_index").agg(
@@ -232,7 +258,7 @@ def task1_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Part "), F.element_at("docs", 1).cast("string"), F.lit(" came back as "), "flag", F.lit("."))
     return evidence.task1_reports(
         j.select("topic_id", F.lit(600).alias("limit"), "nugget_id", "weight", "answer_index", "score", said.alias("sentence"), "docs")
-    )
+    ).withColumn("docs", F.array_join("docs", ","))
 
 
 @_query(
@@ -254,7 +280,17 @@ def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("label", "id", F.transform("e", lambda x: x / norm).alias("vector"))
 
 
-@_query("greedy_dedup")
+@_query(
+    "greedy_dedup",
+    """WITH RECURSIVE v AS (SELECT label, vec_id AS id, embedding[1:6]::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT label, id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e, row_number() OVER (PARTITION BY label ORDER BY id) AS i FROM v),
+f AS (SELECT label, id, id AS survivor, i, [{'id': id, 'e': e}] AS kept FROM u WHERE i = 1 UNION ALL
+  SELECT label, id, coalesce(target, id), i, CASE WHEN target IS NULL THEN list_append(kept, {'id': id, 'e': e}) ELSE kept END
+  FROM (SELECT label, id, i, e, kept, CASE WHEN list_max(s) >= 0.9 THEN kept[list_position(s, list_max(s))].id END AS target
+    FROM (SELECT u.label, u.id, u.i, u.e, f.kept, list_transform(f.kept, lambda k: round(list_inner_product(k.e, u.e), 9)) AS s
+      FROM f JOIN u ON u.label = f.label AND u.i = f.i + 1)))
+SELECT label, id, survivor FROM f""",
+)
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy_dedup(_short(spark, sf_dir), 0.9, "label")
 
@@ -322,7 +358,17 @@ def trigger_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.trigger_passages(asked, seen)
 
 
-@_query("context_budget")
+@_query(
+    "context_budget",
+    """WITH RECURSIVE o AS (SELECT conv_id AS query_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, false AS shown FROM (SELECT DISTINCT query_id FROM o) UNION ALL
+  SELECT query_id, i, CASE WHEN fits THEN used + n ELSE used END, fits
+  FROM (SELECT o.query_id, o.i, f.used, length(o.text) AS n, coalesce(f.used + length(o.text) <= 1000, false) AS fits FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, shown ORDER BY i) AS k FROM f JOIN o USING (query_id, i)),
+b AS (SELECT query_id, count(*) FILTER (NOT shown) AS out_, string_agg('[' || k || '] passage_id=' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY i) FILTER (shown) AS body FROM t GROUP BY query_id)
+SELECT query_id, CASE WHEN body IS NULL THEN 'PASSAGES: none.' ELSE 'PASSAGES (' || (SELECT count(*) FROM t WHERE t.query_id = b.query_id AND shown) || ', rendering=original):' || chr(10) || chr(10) || body ||
+  CASE WHEN out_ > 0 THEN chr(10) || chr(10) || '(' || out_ || ' more did not fit)' ELSE '' END END AS block FROM b""",
+)
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as its ranked passages, shown within 1,000 characters."""
     t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("rank"), F.col("turn").alias("id"), "text")
@@ -357,7 +403,18 @@ def component_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acceptance.component_merge(n, said, a.select("nugget_id", "passage_id"), comps)[0]
 
 
-@_query("merge_answers")
+@_query(
+    "merge_answers",
+    f"""WITH RECURSIVE {EVIDENCE},
+o AS (SELECT nugget_id, answer_index, max(score) AS score, min(flag) AS answer, list(DISTINCT doc_id) AS docs, row_number() OVER (PARTITION BY nugget_id ORDER BY answer_index) AS i FROM answers GROUP BY nugget_id, answer_index),
+f AS (SELECT nugget_id, i, i AS leader, [{{'i': i, 'answer': answer, 'score': score}}] AS leaders FROM o WHERE i = 1 UNION ALL
+  SELECT nugget_id, i, coalesce(same, i), CASE WHEN same IS NULL THEN list_append(leaders, {{'i': i, 'answer': answer, 'score': score}}) ELSE leaders END
+  FROM (SELECT o.nugget_id, o.i, o.answer, o.score, f.leaders, list_filter(f.leaders, lambda k: o.nugget_id % 2 = 1 AND k.answer = o.answer AND cos(1.5 * (k.score - o.score)) >= 0.99)[1].i AS same
+    FROM f JOIN o ON o.nugget_id = f.nugget_id AND o.i = f.i + 1)),
+d AS (SELECT nugget_id, leader, score, unnest(docs) AS doc FROM f JOIN o USING (nugget_id, i)),
+m AS (SELECT nugget_id, leader, max(score) AS score, CAST(count(DISTINCT doc) AS INTEGER) AS documents FROM d GROUP BY ALL)
+SELECT m.nugget_id, o.answer, m.score, m.documents FROM m JOIN o ON o.nugget_id = m.nugget_id AND o.i = m.leader""",
+)
 def merge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers near in score and flag merge inside nuggets of odd id."""
     a = answers(spark, sf_dir)
