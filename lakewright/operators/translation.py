@@ -39,6 +39,38 @@ def units_of(spine: DataFrame, size: int = 2) -> DataFrame:
     )
 
 
+def merge_map(units: DataFrame) -> DataFrame:
+    """(doc_id, sentence_index, head) for every sentence of the units (doc_id, lang, head, n) outside English."""
+    places = F.explode(F.sequence(F.col("head"), F.col("head") + F.col("n") - 1)).alias("sentence_index")
+    return units.filter("lang <> 'en' or lang is null").select("doc_id", places, "head")
+
+
+def unit_heads(map_: DataFrame) -> DataFrame:
+    """The rows of a merge map whose sentence is its unit's head."""
+    return map_.filter(F.col("sentence_index") == F.col("head"))
+
+
+def merge_map_violations(map_: DataFrame, spine: DataFrame) -> DataFrame:
+    """(doc_id, sentence_index, violation) of a merge map against the spine outside English.
+
+    A sentence must have one row, a row a sentence, and a unit must be a run
+    of sentences that begins at its head. Units are named by their head.
+    """
+    keys = ["doc_id", "sentence_index"]
+    told = map_.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    have = spine.filter("lang <> 'en' or lang is null").select(*keys, F.lit(True).alias("known"))
+    single = have.join(told, keys, "full").withColumn(
+        "violation",
+        F.when(F.col("known").isNull(), "not of the spine").when(F.col("rows").isNull(), "no unit").when(F.col("rows") > 1, "in two units"),
+    )
+    units = map_.groupBy("doc_id", "head").agg(
+        F.min("sentence_index").alias("low"), F.max("sentence_index").alias("high"), F.count_distinct("sentence_index").alias("n")
+    )
+    gaps = units.filter((F.col("low") != F.col("head")) | (F.col("high") - F.col("low") + 1 != F.col("n")))
+    gaps = gaps.select("doc_id", F.col("head").alias("sentence_index"), F.lit("not a run from its head").alias("violation"))
+    return single.filter("violation is not null").select(*keys, "violation").unionByName(gaps)
+
+
 def translate_units(units: DataFrame, translate) -> DataFrame:
     """Raw translations of units: ``translate`` maps the marker-joined text column; English is itself."""
     joined = join_constituents(F.col("constituents"))

@@ -166,6 +166,39 @@ def translation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("raw_md5", F.md5(F.col("text_raw").cast("binary"))).drop("text_raw", "members")
 
 
+@_query(
+    "merge_map",
+    f"""WITH {_UNITS} SELECT doc_id, sentence_index, CAST(head AS INTEGER) AS head FROM member WHERE lang <> 'en'""",
+)
+def merge_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translation.merge_map(_reconciled(spark, sf_dir)[0])
+
+
+@_query(
+    "unit_heads",
+    f"""WITH {_UNITS} SELECT DISTINCT doc_id, CAST(head AS INTEGER) AS sentence_index FROM member WHERE lang <> 'en'""",
+)
+def unit_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translation.unit_heads(merge_map(spark, sf_dir)).select("doc_id", "sentence_index")
+
+
+@_query(
+    "merge_map_violations",
+    f"""WITH {_UNITS}, m AS (SELECT * FROM member WHERE lang <> 'en')
+SELECT doc_id, CAST(0 AS INTEGER) AS sentence_index, 'no unit' AS violation FROM m WHERE doc_id % 4 = 0 AND sentence_index = 0
+UNION ALL SELECT doc_id, CAST(0 AS INTEGER), 'not a run from its head' FROM m WHERE doc_id % 4 = 0 AND sentence_index = 1
+UNION ALL SELECT doc_id, CAST(0 AS INTEGER), 'in two units' FROM m WHERE doc_id % 4 = 1 AND sentence_index = 0
+UNION ALL SELECT doc_id, CAST(-1 AS INTEGER), 'not of the spine' FROM m WHERE doc_id % 4 = 2 AND sentence_index = 0""",
+)
+def merge_map_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps damaged by the remainder of their document: the first row lost, told twice, or one row of no sentence."""
+    m, kind = merge_map(spark, sf_dir), F.col("doc_id") % 4
+    first = m.filter("sentence_index = 0")
+    stray = first.filter(kind == 2).select("doc_id", F.lit(-1).alias("sentence_index"), F.lit(-1).alias("head"))
+    bad = m.filter(~((kind == 0) & (F.col("sentence_index") == 0))).unionByName(first.filter(kind == 1)).unionByName(stray)
+    return translation.merge_map_violations(bad, _spine(spark, sf_dir)[1])
+
+
 @_query(
     "split_back",
     f"""WITH {_UNITS} SELECT doc_id, head, n, fused, CASE WHEN n > 1 AND NOT fused THEN md5(array_to_string(parts, '|')) END AS parts_md5 FROM told""",

@@ -111,3 +111,18 @@ def test_english_keeps_its_markers(spark):
     raw = translation.translate_units(translation.units_of(spine), F.upper)
     final, _ = translation.reconcile(raw, spine)
     assert [r["text"] for r in final.orderBy("final_index").collect()] == ["See § 5.", "End."]
+
+
+def test_merge_map_is_total_and_names_its_faults(spark):
+    spine = spark.createDataFrame([(1, "de", i) for i in range(4)] + [(2, "en", 0)], "doc_id long, lang string, sentence_index int")
+    units = spark.createDataFrame([(1, "de", 0, 2), (1, "de", 2, 2), (2, "en", 0, 1)], "doc_id long, lang string, head int, n int")
+    m = translation.merge_map(units)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(m) == [(1, 0, 0), (1, 1, 0), (1, 2, 2), (1, 3, 2)]
+    assert rows(translation.unit_heads(m)) == [(1, 0, 0), (1, 2, 2)]
+    assert rows(translation.merge_map_violations(m, spine)) == []
+    assert rows(translation.merge_map_violations(m.filter("false"), spine.filter("false"))) == []
+    bad = m.filter("sentence_index <> 2").union(spark.createDataFrame([(1, 0, 0), (2, 0, 0)], m.schema))
+    assert rows(translation.merge_map_violations(bad, spine)) == [
+        (1, 0, "in two units"), (1, 2, "no unit"), (1, 2, "not a run from its head"), (2, 0, "not of the spine")
+    ]
