@@ -129,7 +129,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(w[0] + z @ w[1:], -30, 30)))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> None:
-        """Fit the logistic model by Newton steps; one class alone gives its share."""
+        """Fit the logistic model by Newton steps; one class alone gives its share.
+
+        A whole step can overshoot where few rows lie between the classes, and
+        then each further one goes farther off: a step is halved until the
+        penalised loss, which is convex, is less.
+        """
         self.mean, self.scale = x.mean(0).tolist(), (x.std(0) + 1e-9).tolist()
         z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
         prior = (y.sum() + 0.5) / (len(y) + 1)
@@ -138,9 +143,21 @@ class ToxicityModel:
         if 0 < y.sum() < len(y):
             penalty = ridge * np.eye(len(w))
             penalty[0, 0] = 1e-6
-            for _ in range(40):
+
+            def loss(v: np.ndarray) -> float:
+                at = z @ v
+                return float((np.logaddexp(0, at) - y * at).sum() + v @ penalty @ v / 2)
+
+            now, gain = loss(w), math.inf
+            while gain > 1e-9 * (1 + now):
                 p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-                w += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (y - p) - penalty @ w)
+                step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (y - p) - penalty @ w)
+                part = 1.0
+                while part > 1e-9 and not loss(w + part * step) < now:
+                    part /= 2
+                gain = max(0.0, now - loss(w + part * step))
+                if gain:
+                    w, now = w + part * step, now - gain
         self.weights = w.tolist()
 
 

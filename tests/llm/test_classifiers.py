@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,18 @@ def test_toxicity_edges(spark):
     assert max(one_class.score(["vexatious"])) < 0.3
 
 
+def test_toxicity_calibration_converges_where_whole_newton_steps_overshoot():
+    x = np.zeros((1000, toxicity.FEATURES))
+    x[:, 0] = (np.arange(1000) % 100 / 20) ** 4 / 100
+    y = (x[:, 0] >= 5).astype(float)
+    model = toxicity.ToxicityModel(b"", b"")
+    model.calibrate(x, y)
+    z = model.weights[0] + (x - model.mean) / model.scale @ np.array(model.weights[1:])
+    found = z >= np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+    assert found[y == 1].all() and found[y == 0].mean() < 0.02
+    assert np.abs(model.weights).max() < 1000
+
+
 def languages(spark, n=90):
     r = random.Random(5)
     alphabets = {"aa": ["sch", "ung", "der", "ich", "ä"], "bb": ["tion", "the", "ing", "ou"], "cc": ["да", "нет", "мы", "что"]}
