@@ -26,7 +26,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+#: Bits of the size that Spark gives a table of which it knows nothing.
+UNKNOWN_BITS = 63
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (an action)."""
+    """Materialise ``df`` in the shared checkpoint folder (an action).
+
+    Spark keeps its estimate of the size, a join's being the product of both
+    sides. In a loop the number's length doubles with every join, until the
+    driver's memory and time go into multiplying it, so an estimate beyond what
+    an unknown size counts as becomes unknown.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes().bit_length() <= UNKNOWN_BITS:
+        return out
+    session, jvm = df.sparkSession._jsparkSession, df.sparkSession._jvm
+    nothing = jvm.scala.Option.empty()
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(),
+        plan.rdd(),
+        plan.outputPartitioning(),
+        plan.outputOrdering(),
+        plan.isStreaming(),
+        plan.stream(),
+        session,
+        nothing,
+        nothing,
+    )
+    return type(out)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)

@@ -2,9 +2,11 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lakewright.operators import agreement, fusion, graph, integrity, legs, ordered, retrieve, rounds
+from lakewright.plans.checkpoints import cut
 
 
 def test_dense_ties_go_to_the_smaller_id_over_partitions(spark):
@@ -120,6 +122,21 @@ def test_components_of_a_path_a_star_and_a_loop(spark, n):
     assert graph.connected_components(df.filter("false")).count() == 0
 
 
+def test_estimated_sizes_stay_bounded_over_rounds(spark):
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    order = [i * 37 % 101 for i in range(101)]
+    path = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "src long, dst long")
+    found = graph.connected_components(path)
+    assert size(found).bit_length() <= 63
+    assert [tuple(r) for r in found.orderBy("node").collect()] == [(i, 0) for i in range(101)]
+    odd = spark.createDataFrame([(1, [1, None], None), (1, [], "x"), (2, None, "y")], "k int, a array<int>, s string")
+    twice = cut(odd.join(odd.select("k", F.col("s").alias("t")), "k").join(odd.select("k"), "k").repartition(3, "k"))
+    assert size(twice).bit_length() <= 63 and twice.count() == 9
+    assert sorted(map(str, twice.groupBy("k", "a", "s").count().collect())) == sorted(
+        map(str, [Row(k=1, a=[1, None], s=None, count=4), Row(k=1, a=[], s="x", count=4), Row(k=2, a=None, s="y", count=1)])
+    )
+
+
 def test_set_checks(spark):
     a = spark.createDataFrame([(1,), (2,), (2,)], "id int")
     b = spark.createDataFrame([(2,), (3,)], "id int")
