@@ -174,3 +174,14 @@ def test_vector_edges(spark):
     assert all(out[i] == (0, i, True) for i in [*range(6), 12, 13, 15]) and out[None] == (0, None, True)
     assert out[10] == (2, 10, True) and out[11] == (2, 10, False) and out[14] == (2, 10, False)
     assert embed_dedup.near_duplicates(df.filter("false")).count() == 0
+
+
+def test_a_group_of_many_blocks_keeps_size_estimates_bounded(spark):
+    r = random.Random(8)
+    words = [str(r.randint(0, 10**6)) for _ in range(60)]
+    rows = [(i, " ".join(words[:-1] + [f"w{i}"])) for i in range(60)] + [(60, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.drop_near_duplicates(docs, words=4, block_shingles=500)
+    size = kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size.bit_length() < 500
+    assert sorted(x["doc_id"] for x in kept.collect()) == [0, 60]
