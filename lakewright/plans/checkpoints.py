@@ -37,15 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
     sides. In a loop the number's length doubles with every join, until the
     driver's memory and time go into multiplying it, so an estimate beyond what
     an unknown size counts as becomes unknown.
+
+    The shuffle files it was made from go at once; else they stay until the
+    driver happens to collect its garbage, the sum of all steps on disk.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    session, jvm = df.sparkSession._jsparkSession, df.sparkSession._jvm
+    dataset, execution = jvm.org.apache.spark.sql.classic.Dataset, jvm.org.apache.spark.sql.execution
+    removed = getattr(getattr(execution, "RemoveShuffleFiles$"), "MODULE$")
+    own = dataset.ofRows(session, df._jdf.queryExecution().commandExecuted(), removed)
+    out = type(df)(own.checkpoint(True), df.sparkSession)
     plan = out._jdf.queryExecution().logical()
     if plan.stats().sizeInBytes().bit_length() <= UNKNOWN_BITS:
         return out
-    session, jvm = df.sparkSession._jsparkSession, df.sparkSession._jvm
     nothing = jvm.scala.Option.empty()
-    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(
+    plan = execution.LogicalRDD(
         plan.output(),
         plan.rdd(),
         plan.outputPartitioning(),
@@ -56,4 +62,4 @@ def cut(df: DataFrame) -> DataFrame:
         nothing,
         nothing,
     )
-    return type(out)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
+    return type(out)(dataset.ofRows(session, plan), df.sparkSession)

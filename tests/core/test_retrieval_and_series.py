@@ -1,4 +1,5 @@
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -137,6 +138,20 @@ def test_estimated_sizes_stay_bounded_over_rounds(spark):
     )
 
 
+def test_shuffle_files_go_with_the_checkpoint_made_of_them(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffled()
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    sums = rows.repartition(3, "k").groupBy("k").count()
+    kept = cut(sums.join(rows.hint("merge"), "k"))
+    late = time.time() + 20
+    while shuffled() - before and time.time() < late:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert kept.count() == 1000 and cut(sums).agg(F.sum("count")).first()[0] == 1000 and sums.count() == 7
+
+
 def test_set_checks(spark):
     a = spark.createDataFrame([(1,), (2,), (2,)], "id int")
     b = spark.createDataFrame([(2,), (3,)], "id int")
