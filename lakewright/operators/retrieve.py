@@ -25,20 +25,20 @@ def pools(queries: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
     one scan of the documents; only its best rows are shuffled.
     """
     q = queries.select("query_id", words_of(F.col("text")).alias("words"))
-    d = docs.select("id", F.coalesce("lang", F.lit("-")).alias("lang"), words_of(F.col("text")).alias("words"))
+    # Words and vectors of documents are many times their texts, so tasks make them of a few texts at a time.
+    text = F.lower(F.coalesce("text", F.lit("")))
+    d = lambda name: docs.select("id", F.coalesce("lang", F.lit("-")).alias("lang"), text.alias(name))
     vector, tokens = encode.dense_vector(F.col("words")), encode.token_vectors(F.col("words"))
-    seen = encode.token_vectors(F.array_distinct("words"))
     hits = {
         "dense": legs.dense_top_k(
             # Texts without a word go before they are encoded: a filter on the encoder's result would run it twice.
             q.filter(F.size("words") > 0).select("query_id", vector.alias("vector")),
-            d.filter(F.size("words") > 0).select("id", "lang", vector.alias("vector")),
-            depth, cell="lang",
+            d("vector"), depth, cell="lang", encode=encode.dense_of_text,
         ),
         "late": legs.max_sim_top_k(
-            q.select("query_id", tokens.alias("vectors")), d.select("id", "lang", seen.alias("vectors")), depth, encode.DIM, cell="lang"
+            q.select("query_id", tokens.alias("vectors")), d("vectors"), depth, encode.DIM, cell="lang", encode=encode.tokens_of_text
         ),
-        "sparse": legs.lexical_top_k(q, d, depth, cell="lang"),
+        "sparse": legs.lexical_top_k(q, d("words"), depth, cell="lang", split=encode.split),
     }
     out = None
     for leg, rows in hits.items():
