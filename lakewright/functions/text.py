@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 MARKER = "§"
+#: Unicode's white space: what ``(?U)\\s`` matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def doc_id_of(ref: Column) -> Column:
@@ -31,7 +33,13 @@ def ordinal_of(ref: Column) -> Column:
 
 
 def utrim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Looks at the ends only, where a regular expression would try every blank."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def lead_of(text: Column) -> Column:
+    """How many characters of white space the text begins with."""
+    return F.length(text) - F.length(F.ltrim(text, F.lit(WHITE)))
 
 
 def collapse(text: Column) -> Column:
@@ -57,8 +65,7 @@ def fixed9(x: pd.Series) -> pd.Series:
 
 def word_count(text: Column) -> Column:
     """Words between white space: the token count where no tokenizer is plugged in."""
-    t = collapse(text)
-    return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, " "))).cast("int")
+    return F.regexp_count(text, F.lit(r"(?U)\S+")).cast("int")
 
 
 def cluster_key(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakewright.functions.text import mint, utrim, word_count
+from lakewright.functions.text import lead_of, mint, utrim, word_count
 from lakewright.operators.boilerplate import is_chrome
 
 #: Stand-in for a sentence model: up to and with a run of terminators.
@@ -82,8 +82,7 @@ def sentences(paras: DataFrame, pattern: str = SENTENCE) -> DataFrame:
     every = F.flatten(F.transform(placed(F.col("paragraphs"), 1), cut))
     s = paras.select("doc_id", "lang", F.posexplode(every).alias("sentence_index", "s"))
     s = s.select("doc_id", "lang", "sentence_index", "s.*")
-    lead = F.length(F.regexp_extract("part", r"(?U)^\s*", 0))
-    s = s.withColumn("sentence", utrim(F.col("part"))).withColumn("start", F.col("at") + lead)
+    s = s.withColumn("sentence", utrim(F.col("part"))).withColumn("start", F.col("at") + lead_of(F.col("part")))
     return s.select(
         mint(F.col("doc_id"), "s", F.col("sentence_index")).alias("sentence_id"),
         "doc_id",
@@ -100,8 +99,9 @@ def sentences(paras: DataFrame, pattern: str = SENTENCE) -> DataFrame:
 def span_violations(spine: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_index, violation) of the spine against the documents' text."""
     order = W.partitionBy("doc_id").orderBy("sentence_index")
-    s = spine.join(docs.select("doc_id", "text"), "doc_id", "left")
-    s = s.withColumn("at", F.row_number().over(order) - 1).withColumn("before", F.lag("end").over(order))
+    # Sorted before a document's text is beside each of its sentences.
+    s = spine.withColumn("at", F.row_number().over(order) - 1).withColumn("before", F.lag("end").over(order))
+    s = s.join(docs.select("doc_id", "text"), "doc_id", "left")
     cut = F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     return s.withColumn(
         "violation",
