@@ -117,10 +117,28 @@ def rerank_evidence(observed: DataFrame, by: str = "topic_id") -> DataFrame:
     return means.select(by, "doc_id", F.coalesce("c", "p").alias("rerank"))
 
 
+def support_and_rerank(observed: DataFrame, by: str = "topic_id") -> DataFrame:
+    """(by, doc_id, total, unscored, rerank): ``document_support`` and ``rerank_evidence`` of the same rows at once.
+
+    observed: by, nugget_id, passage_id, doc_id, score, cited, and of the
+    citation its ``citation`` score and ``weight``. Rows that stand together by
+    ``by`` are not shuffled.
+    """
+    best = observed.groupBy(by, "nugget_id", "passage_id", "doc_id").agg(
+        F.max("score").alias("score"), F.max("cited").alias("cited"),
+        F.sum(F.coalesce("citation", "weight")).alias("part"), F.count_if(F.col("citation").isNull()).alias("unscored"),
+    )
+    g = best.groupBy(by, "doc_id").agg(
+        F.round(F.sum("part"), 6).alias("total"), F.sum("unscored").alias("unscored"),
+        F.avg(F.when(F.col("cited"), F.col("score"))).alias("c"), F.avg(F.when(~F.col("cited"), F.col("score"))).alias("p"),
+    )
+    return g.select(by, "doc_id", "total", "unscored", F.coalesce("c", "p").alias("rerank"))
+
+
 def rank_documents(support: DataFrame, top: int, rerank: DataFrame | None = None, by: str = "topic_id") -> DataFrame:
     """The ``top`` documents: total descending, rerank descending (missing last), doc_id."""
     s = support if rerank is None else support.join(rerank, [by, "doc_id"], "left")
-    if rerank is None:
+    if "rerank" not in s.columns:
         s = s.withColumn("rerank", F.lit(None).cast("double"))
     w = W.partitionBy(by).orderBy(F.col("total").desc(), F.col("rerank").desc_nulls_last(), F.col("doc_id").asc())
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -14,3 +14,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Bytes of the tables that a partition of ``parts_of`` stands for.
+PART_BYTES = 8 << 20
+
+
+def parts_of(*tables: DataFrame) -> int:
+    """How many partitions keep a task's share the same at any size of the tables, as read; runs nothing."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
